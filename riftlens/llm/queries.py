@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftlens.llm import mixing, packing
+from riftlens.llm import mixing, packing, truncation
 from riftlens.session import table
 
 
@@ -26,8 +26,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.limits(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_pack, p6_fill, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
 
 
 def oracle_sql() -> dict[str, str]:
