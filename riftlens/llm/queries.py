@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftlens.llm import mixing, packing, truncation
+from riftlens.llm import mixing, packing, secrets, truncation
 from riftlens.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_in_lines(table(spark, d, "diff_lines")).select("file_id", "line_seq").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text file with its secrets masked."""
+    files = table(spark, d, "file_diffs").where("not is_binary and length(new_source) > 0").select("file_id", "new_source").distinct()
+    return files.withColumn("r", secrets.redacted("new_source")).select("file_id", "r.*")
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
 
@@ -39,7 +49,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
+    return {f.__name__: f for f in (p4_found, p4_redacted, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
 
 
 def oracle_sql() -> dict[str, str]:

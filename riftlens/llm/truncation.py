@@ -44,7 +44,7 @@ LIMITS = "source string, unit string, lo long, hi long, odds double"
 
 _WORD_END = re.compile(r"[.!?][\"'”“»’)\]]*$|[.!?][\"'”“»’)\] ]*[”“»’]$")
 _TRAIL = re.compile(r"\s*[(\[][^()\[\]]*[)\]]\s*$")
-_MARK = re.compile(r"(…|\.\.\.|\[…\]|\(…\))$")
+_MARK = re.compile(r"(…|\.\.\.|\[…\]|\(…\)|[(\[](?i:more|continued|cont\.|mehr|weiter|fortsetzung folgt|suite|lire la suite|sigue|continúa|más)[)\]])$")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"\b(?:[^\W\d_a-zß-öø-ÿ][\w’'-]*\.?,? )*[^\W\d_a-zß-öø-ÿ][\w’'-]*")
 
