@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftlens.llm import mixing, packing, pairs, secrets, truncation
+from riftlens.llm import handwritten, mixing, packing, pairs, secrets, truncation
 from riftlens.session import table
 
 
@@ -14,6 +14,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "thread_turns")).where("defect is not null").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "file_diffs"), table(spark, d, "upstream_files")).select("file_id").distinct()
+
+
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "file_diffs"), table(spark, d, "upstream_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find_in_lines(table(spark, d, "diff_lines")).select("file_id", "line_seq").distinct()
 
@@ -53,7 +61,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_redacted, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_reasons, p4_found, p4_redacted, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
 
 
 def oracle_sql() -> dict[str, str]:
