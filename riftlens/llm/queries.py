@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftlens.llm import handwritten, mixing, packing, pairs, secrets, truncation
+from riftlens.llm import handwritten, mixing, packing, pairs, secrets, syntax, truncation
 from riftlens.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken(table(spark, d, "file_diffs"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, d, "file_diffs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "thread_turns")).where("defect is not null").distinct()
 
@@ -61,7 +69,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_reasons, p4_found, p4_redacted, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_reasons, p4_found, p4_redacted, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
 
 
 def oracle_sql() -> dict[str, str]:
