@@ -327,9 +327,12 @@ ATOMIC = {
 #: their plain statements, which are matched one by one, as each of them comes again and again.
 PLAIN = {
     "go": (r"(?:(?:go|defer)<expr>|<simple>);", ("block",)), "java": (r"(?:<effect>;|<locals>;|throw<expr>;)", ("block",)), "rs": (r"(?:<let>|<expr>;)", ("block",)),
-    "kt": (r"(?:<var>|(?:<e0>[=A])+<expr>|<expr>)N", ("lambda",)), "js": (r"(?:<decl>|throw<expr>|<exprstart><expr>)[;N]", ("block", "body")), "ts": (r"(?:<decl>|throw<expr>|<exprstart><expr>)[;N]", ("block", "body")),
+    "kt": (r"(?:<var>|(?:<e0>[=A])+<expr>|<expr>)N", ("lambda",)), "js": (r"(?:<decl>|throw<expr>|<exprstart><expr>)[;N]", ("block", "body")), "ts": (r"(?:<decl>|throw<expr>|<exprstart><expr>)[;N]", ("block", "body", "ns")),
 }
-_PIECES = {lang: re.compile("(?<=[;N])" if lang in ("js", "ts") else "(?<=;)" if lang != "kt" else "(?<=N)") for lang in PLAIN}
+#: Words that begin a statement after a block; ``else``, ``catch``, ``while`` and the like go on with the one before.
+_BEGIN = "".join(map(keyword, ("if", "for", "switch", "match", "return", "throw", "try", "let", "const", "var", "val", "loop", "break", "continue")))
+_BLOCKS = "[\uf400-\uf5ff]"
+_PIECES = {lang: re.compile(f"(?<=N)|(?<={_BLOCKS})(?=[{_BEGIN}])" if lang == "kt" else f"(?<=[;N])|(?<={_BLOCKS})(?=[{_BEGIN}])") for lang in PLAIN}
 _REPEATED = re.compile(r"([^,;N]{1,60}[,;N])\1{2,}")
 
 GRAMMARS = {"json": JSON, "go": GO, "java": JAVA, "rs": RUST, "kt": KOTLIN, "js": JS, "ts": TS, "py": PY}
@@ -376,11 +379,15 @@ class Grammar:
 
     def without_plain(self, content: str) -> str:
         """A statement window without its plain statements; a statement that hangs on a header before it stays."""
-        kept, hanging = [], False
+        kept, hanging, controls = [], False, set()
         for piece in _PIECES[self.lang].split(content):
             if not piece:
                 continue
             if hanging or piece in ";N" or not self.fits(("", "plain"), piece):
+                if not hanging and piece[0] in _CONTROL and "\uf400" <= piece[-1] <= "\uf5ff":
+                    if piece in controls:
+                        continue
+                    controls.add(piece)
                 kept.append(piece)
                 closed = _CURLY.search(piece) is not None
                 if self.lang == "go":  # a header has semicolons of its own
@@ -496,6 +503,7 @@ class Grammar:
 
 
 _HEADERS = frozenset(map(keyword, ("if", "else", "for", "while", "do", "with")))
+_CONTROL = frozenset(map(keyword, ("if", "for", "switch", "match", "try", "loop")))
 _GO_HEADERS = frozenset(map(keyword, ("if", "for", "switch", "select", "else")))
 _CURLY = re.compile(f"[{chr(BASE['C'])}-{chr(BASE['C'] + 0x1FF)}]")
 _GO_END = "insU)\\]}" + "".join(map(keyword, ("break", "continue", "fallthrough", "return")))
