@@ -1 +1 @@
-
+"""Column functions: each takes and returns Columns, so all of them stay in generated code."""
