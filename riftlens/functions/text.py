@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 KEY_SEPARATOR = "\u001f"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -41,7 +46,7 @@ def collapse(text: Column) -> Column:
 
 
 def comment_only(text: Column) -> Column:
-    return F.ltrim(text).rlike(r"^(//|/\*|\*|#)")
+    return text.rlike(r"^\s*(//|/\*|\*|#)")
 
 
 def source_lines(source: Column) -> Column:
@@ -100,7 +105,7 @@ def line_change_type(adds: Column, dels: Column) -> Column:
 
 def import_like(line: Column) -> Column:
     """Import, package and include lines of the common languages, and a lone quoted path as Go lists them."""
-    t = F.trim(line)
+    t = strip(line)
     quoted = t.rlike(r'^([\w.]+ )?"[^"]*"$') & ~F.contains(t, F.lit("=")) & ~F.contains(t, F.lit("//"))
     return t.rlike(r"^(import|package|use|from|include|require|extern crate|mod|pub use|pub mod|#include)\b") | t.isin("import (", ")") | quoted
 
@@ -112,11 +117,11 @@ def imported_names(lang: Column, source: Column) -> Column:
         return F.element_at(F.split(line, mark), -1)
 
     def bound(raw: Column) -> Column:
-        line = F.trim(raw)
+        line = strip(raw)
         rust = last(F.regexp_replace(F.regexp_replace(line, r"^(use )+", ""), r";+$", ""), "::")
         java = last(F.regexp_replace(F.regexp_replace(line, r"^(import )+(static )*", ""), r";+$", ""), r"\.")
-        plain = F.trim(F.regexp_replace(F.regexp_replace(line, r"^(import )+", ""), r";+$", ""))
-        kotlin = F.when(F.contains(plain, F.lit(" as ")), F.trim(F.substring_index(plain, " as ", -1))).otherwise(last(plain, r"\."))
+        plain = strip(F.regexp_replace(F.regexp_replace(line, r"^(import )+", ""), r";+$", ""))
+        kotlin = F.when(F.contains(plain, F.lit(" as ")), strip(F.substring_index(plain, " as ", -1))).otherwise(last(plain, r"\."))
         go = last(F.regexp_replace(line, r'^"+|"+$', ""), "/")
         return (
             F.when((lang == "rust") & F.startswith(line, F.lit("use ")), rust)
@@ -125,13 +130,13 @@ def imported_names(lang: Column, source: Column) -> Column:
             .when((lang == "kotlin") & F.startswith(line, F.lit("import ")), kotlin)
         )
 
-    names = F.transform(source_lines(source), lambda x: F.trim(F.regexp_replace(F.trim(bound(x)), r"^\{+|\}+$", "")))
+    names = F.transform(source_lines(source), lambda x: strip(F.regexp_replace(strip(bound(x)), r"^\{+|\}+$", "")))
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (x != "") & (x != "*") & ~F.contains(x, F.lit(" ")))))
 
 
 def provisional_title(text: Column) -> Column:
     """Dashes and underscores to blanks, first letter of each word in upper case, the rest as it is."""
-    parts = F.filter(F.split(F.trim(F.regexp_replace(text, "[-_]", " ")), r"\s+"), lambda x: x != "")
+    parts = F.filter(F.split(strip(F.regexp_replace(text, "[-_]", " ")), r"\s+"), lambda x: x != "")
     return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
 
 
@@ -153,8 +158,8 @@ def identifier_bases(token: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """The inside of a Markdown code fence, or the trimmed text."""
-    trimmed = F.trim(text)
-    return F.when(F.startswith(trimmed, F.lit("```")), F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))).otherwise(trimmed)
+    trimmed = strip(text)
+    return F.when(F.startswith(trimmed, F.lit("```")), strip(F.regexp_replace(F.regexp_replace(trimmed, r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))).otherwise(trimmed)
 
 
 def unwrap_json(text: Column) -> Column:

@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from riftlens.session import checkpointed
+from riftlens.session import checkpointed, global_rank
 
 
 def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,6 +21,7 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFram
     ids = nodes.select("id").where("id is not null").distinct()
     known = pairs.select("a", "b").where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     edges = checkpointed(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last = None
     for _ in range(rounds):
         # large star: neighbours above a node link to the smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,20 +31,20 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFram
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        new = checkpointed(small)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges = checkpointed(small)
+        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == last:
             break
+        last = mark
     else:
         raise RuntimeError(f"no fixpoint after {rounds} rounds")
     return ids.join(edges.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
 def seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(seed_id, id): components numbered from 1 by their smallest member, within one review."""
+    """(seed_id, id): components numbered from 1 by their smallest member."""
     labelled = components(nodes, pairs)
-    roots = labelled.select("component").distinct().withColumn("seed_id", F.concat(F.lit("seed-"), F.row_number().over(Window.orderBy("component"))))
+    roots = global_rank(labelled.select("component").distinct(), [F.col("component")], "n").select("component", F.concat(F.lit("seed-"), F.col("n") + 1).alias("seed_id"))
     return labelled.join(roots, "component").select("seed_id", "id")
 
 

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riftlens.functions import rules as R
+from riftlens.session import global_rank
 
 # fixed values: kinds of clusters
 KINDS = ("flow", "contract", "domain-concept", "shared-foundation", "infra")
@@ -49,7 +49,7 @@ def seed_features(members: DataFrame, strong: DataFrame) -> DataFrame:
 def file_seeds(cards: DataFrame, seeded: DataFrame) -> DataFrame:
     """Cards in no seed become seeds of their own, numbered from 1 in card order: seed_id, card_id, type_hint."""
     rest = cards.join(seeded.select("card_id").distinct(), "card_id", "left_anti")
-    return rest.withColumn("n", F.row_number().over(Window.orderBy("seq"))).select(F.concat(F.lit("file-seed-"), F.col("n")).alias("seed_id"), "card_id", R.file_type_hint(F.col("path")).alias("type_hint"))
+    return global_rank(rest, [F.col("seq"), F.col("card_id")], "n").select(F.concat(F.lit("file-seed-"), F.col("n") + 1).alias("seed_id"), "card_id", R.file_type_hint(F.col("path")).alias("type_hint"))
 
 
 def attach_deleted(deleted: DataFrame, members: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from riftlens.functions import rules as R
 from riftlens.functions import text as X
 from riftlens.operators.verify import DEFAULT_TITLE
+from riftlens.session import global_rank
 
 # fixed value: summary of clusters that were made by layers
 LAYERED_SUMMARY = "자동 분석에 실패하여 파일 경로·레이어 기준으로 묶은 변경 사항입니다."
@@ -42,8 +43,8 @@ def assembled(order: DataFrame, members: DataFrame, labels: DataFrame) -> DataFr
     ``order`` is (cluster_id, pos), ``members`` (cluster_id, member_pos, card_id), ``labels`` (cluster_id, title, summary).
     """
     joined = members.join(order.withColumnRenamed("pos", "cluster_pos"), "cluster_id").join(labels, "cluster_id", "left")
-    flat = Window.orderBy("cluster_pos", "member_pos", "card_id")
-    return joined.select("cluster_id", "cluster_pos", F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"), "summary", "member_pos", (F.row_number().over(flat) - 1).alias("flat_pos"), "card_id")
+    ranked = global_rank(joined, [F.col("cluster_pos"), F.col("member_pos"), F.col("card_id")], "flat_pos")
+    return ranked.select("cluster_id", "cluster_pos", F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"), "summary", "member_pos", F.col("flat_pos").cast("int").alias("flat_pos"), "card_id")
 
 
 def folded(cards: DataFrame, layout: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riftlens.functions import text as X
+from riftlens.session import global_rank
 
 # fixed values: title and summary that stand in for missing labels
 DEFAULT_TITLE, DEFAULT_SUMMARY = "변경 사항", "이 클러스터의 변경 사항입니다."
@@ -54,7 +55,7 @@ def normalised_order(proposed: DataFrame, clusters: DataFrame) -> DataFrame:
     first = proposed.groupBy("cluster_id").agg(F.min("pos").alias("p"))
     every = clusters.groupBy("cluster_id").agg(F.min("cluster_pos").alias("c"))
     ranked = every.join(first, "cluster_id", "left")
-    return ranked.select("cluster_id", (F.row_number().over(Window.orderBy(F.col("p").isNull(), F.coalesce("p", "c"), "cluster_id")) - 1).alias("pos"))
+    return global_rank(ranked, [F.col("p").isNull(), F.coalesce("p", "c"), F.col("cluster_id")], "pos").select("cluster_id", F.col("pos").cast("int").alias("pos"))
 
 
 def suspicious(texts: DataFrame, allowed: DataFrame, key: str = "cluster_id", text: str = "text") -> DataFrame:

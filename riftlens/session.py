@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,3 +43,18 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], out: str, sal
     return numbered.join(sizes, [*group, salt]).withColumn(out, F.col(at) + F.col(base)).drop(salt, at, base)
 
 
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rank from 0 over all rows without sorting them in one task.
+
+    Rows are split into ranges of ``order``, numbered within each, and shifted by the sizes of the ranges before; only these
+    sizes, one for each range, meet in one place.  The split is kept by a checkpoint, as a second sampling could differ.
+    """
+    names = [f"__o{i}_{out}" for i in range(len(order))]
+    pid, at, base = f"__pid_{out}", f"__at_{out}", f"__base_{out}"
+    keyed = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names)
+    keyed = checkpointed(keyed.withColumn(pid, F.spark_partition_id()))
+    sizes = keyed.groupBy(pid).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(base, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    numbered = keyed.withColumn(at, F.row_number().over(Window.partitionBy(pid).orderBy(*names)) - 1)
+    return numbered.join(F.broadcast(sizes), pid).withColumn(out, F.col(at) + F.col(base)).drop(pid, at, base, *names)

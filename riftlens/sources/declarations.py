@@ -8,6 +8,7 @@ as one that does not parse has none.  Rows count from 0.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,7 +62,7 @@ def scan(lang: str, source: str) -> tuple[list[dict], list[dict]] | None:
     if lang not in _DECL or ends is None:
         return None
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
-    row = lambda at: __import__("bisect").bisect_right(starts, at) - 1
+    row = lambda at: bisect_right(starts, at) - 1
     raw = []
     for m in _DECL[lang].finditer(masked):
         kind = next(k for k in ("func", "type", "trait", "mod", "macro") if k in m.groupdict() and m.group(k))
@@ -152,4 +153,4 @@ def references(files: DataFrame, source: str = "new_source") -> DataFrame:
 def card_symbols(syms: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols as cards show them: rows from 1 and the trimmed line of the declaration."""
     src = files.select("file_id", X.source_lines(F.col("new_source")).alias("__l")).dropDuplicates(["file_id"])
-    return syms.join(src, "file_id").select("file_id", "sym_idx", "name", (F.col("start_row") + 1).alias("start_line"), (F.col("end_row") + 1).alias("end_line"), F.trim(F.get("__l", F.col("decl_row"))).alias("decl"), (F.col("decl_row") + 1).alias("decl_line"))
+    return syms.join(src, "file_id").select("file_id", "sym_idx", "name", (F.col("start_row") + 1).alias("start_line"), (F.col("end_row") + 1).alias("end_line"), X.strip(F.get("__l", F.col("decl_row"))).alias("decl"), (F.col("decl_row") + 1).alias("decl_line"))
