@@ -248,7 +248,7 @@ JS = {
     "param": r"(?:<ann>)*<pmods>T?(?:<id>|this|<C.object>|<K.array>)<opt><t>(?:=<assign>)?",
     "pmods": "", "ann": r"@<id>(?:\.<id>)*<P.args>?",
     "method": r"(?:<ann>N?)*<mods>(?:static)?(?:async)?\*?(?:get|set)?<prop><opt><gen><P.params><ret>",
-    "objprop": r"(?:T<assign>|<prop>:<assign>|<id>(?:=<assign>)?|(?:async)?\*?(?:get|set)?<prop><gen><P.params><ret><C.body>)",
+    "objprop": r"(?:(?:async)?\*?(?:get|set)?<prop><gen><P.params><ret><C.body>|T<assign>|<prop>:<assign>|<id>(?:=<assign>)?)",
     "member": r"(?:<method>(?:<C.body>N*|<nonempty><end>)|(?:<ann>N?)*<mods>(?:static)?<prop>[?!]?<t>(?:=<assign>)?<end>|static<C.body>|[;N]|<tsmember>)",
     "asw": "i",
     "module": r"(?:import(?:s|<importwhat>i(?:s))(?:i<C.object>)?<end>|export(?:<exportwhat><end>|default(?:<func>|(?:async)?function\*?<gen><P.params><ret><C.body>N*|class<gen>(?:extends<lhs>)?<impl><C.class>N*|<assign><end>)|<decl><end>|<func>|class<id><gen>(?:extends<lhs>)?<impl><C.class>N*|(?:<ann>N?)+class<id><gen>(?:extends<lhs>)?<impl><C.class>N*|<tsdecl>))",
@@ -305,7 +305,7 @@ PY = {
     "target": r"(?:<star>(?:,<star>)*,?)",
     "dotted": r"i(?:\.i)*",
     "simple": r"(?:(?:<target>=)*<value>|<b1>:<expr>(?:=<value>)?|<b1>A<value>|return<list>?|pass|break|continue|raise(?:<expr>(?:from<expr>)?)?|del<target>|assert<expr>(?:,<expr>)?|(?:global|nonlocal)i(?:,i)*|import<dotted>(?:asi)?(?:,<dotted>(?:asi)?)*|from[.T]*<dotted>?import(?:\*|<P.any>|i(?:asi)?(?:,i(?:asi)?)*))",
-    "simples": r"<simple>(?:;<simple>)*;?",
+    "simples": r"(?:<simple>(?:;<simple>)*;?|@<named>)",
     "header": r"(?:if<named>|elif<named>|else|(?:async)?for<target>in<list>|while<named>|try|finally|except(?:\*?<expr>(?:,<expr>)*(?:asi)?)?|(?:async)?with<expr>(?:as<star>)?(?:,<expr>(?:as<star>)?)*|(?:async)?defi<K.any>?<P.params>(?:R<expr>)?|classi<K.any>?<P.any>?|i<list>(?:if<named>)?):",
     "named": r"(?:iW)?<expr>",
     "comp": r"(?:(?:async)?for<target>in<b1>(?:if<b1>)*)+",

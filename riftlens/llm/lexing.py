@@ -57,7 +57,7 @@ _LINE = r"//[^\n]*"
 _BLOCK = r"/\*(?s:.*?)\*/"
 _TRIPLE = r'"""(?s:(?:[^\\]|\\.)*?)"""'
 _TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*+`"
-_REGEX = r"(?:(?<=[=(,:\[!&|?{};])|(?<=[=(,:\[!&|?{};] )|(?<=return ))/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"(?:(?<=[=(,:\[!&|?{};+~^%<>])|(?<=[=(,:\[!&|?{};+~^%<>] )|(?<=return ))/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _OPS = {
     "go": r"<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|&\^",
     "java": r">>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<",

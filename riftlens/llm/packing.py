@@ -14,7 +14,7 @@ Defined results
   rest, which is packed like any document; no other text is cut;
 * null and empty texts have no tokens, take one token of room and hold their place like any other;
 * equal lengths are told apart by ``key`` and piece, so the result does not depend on the partitioning;
-* no documents or no specifications give no rows; a capacity of null or below 1 is left out; extra columns are ignored.
+* no documents or no specifications give no rows; a null name, or a capacity of null or below 1, is left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "te
     """
     sized = docs.select(F.col(key), token_count(F.col(text), vocabulary).alias("__tokens"))
     # the specifications are few (one row per kind of container); each document meets each of them
-    spec_rows = [(r[0], int(r[1])) for r in specs.select("spec_name", "capacity_tokens").distinct().collect() if r[1] is not None and r[1] >= 1]
+    spec_rows = [(r[0], int(r[1])) for r in specs.select("spec_name", "capacity_tokens").distinct().collect() if r[0] is not None and r[1] is not None and r[1] >= 1]
     spark = docs.sparkSession
     columns = ["spec_name", "container_id", "place", key, "piece", "token_from", "n_tokens"]
     spec_array = F.array(*[F.struct(F.lit(n).alias("spec_name"), F.lit(c).cast("long").alias("capacity")) for n, c in spec_rows]) if spec_rows else F.from_json(F.lit("[]"), "array<struct<spec_name:string,capacity:long>>")

@@ -260,8 +260,27 @@ def _copy(rng: random.Random, question: str) -> str:
     return lead + text + rng.choice(("", "", "\n", "\n\n"))
 
 
+#: Short whole answers; they are no defect.
+SHORT = {
+    "en": ("Yes.", "No.", "Only `x`.", "No, only line 9.", "Twice.", "Once, in a/b.go.", "9."), "de": ("Ja.", "Nein.", "Nur `x`.", "Nein, nur Zeile 9.", "Zweimal."), "fr": ("Oui.", "Non.", "Seulement `x`.", "Non, seulement la ligne 9."),
+    "es": ("Sí.", "No.", "Solo `x`.", "No, solo la línea 9."), "ko": ("네.", "아니요.", "9번째 줄만 해당합니다."),
+}
+
+
+def _whole(rng: random.Random, question: str, answer: str) -> str:
+    """Another whole answer to the question: short, with the question quoted, with code or with a list of places."""
+    style = rng.randrange(4)
+    if style == 0:
+        return rng.choice(SHORT.get(language(question) or "en", SHORT["en"]))
+    if style == 1:
+        return f"> {question}\n\n{answer}"
+    if style == 2:
+        return answer + rng.choice(("\n```go\nif x {}\n```", "\n```\nreturn x\n```", "\n```py\nx = 1\n```"))
+    return rng.choice((answer, "See these:")) + "".join(f"\n- `a/b{i}.go:{i}`" for i in range(1, rng.randint(2, 5)))
+
+
 def synthesize(pairs: list[tuple[str, str]], seed: int = SEED) -> list[tuple[str, str, int]]:
-    """(question, answer, defect number or -1): the pairs as they are, and defects made of them."""
+    """(question, answer, defect number or -1): the pairs as they are, whole variants and defects made of them."""
     rng = random.Random(seed)
     by_lang: dict[str, list[str]] = {}
     for _, a in pairs:
@@ -270,6 +289,8 @@ def synthesize(pairs: list[tuple[str, str]], seed: int = SEED) -> list[tuple[str
     out: list[tuple[str, str, int]] = []
     for q, a in pairs:
         out.append((q, a, -1))
+        if end_of(a) in ("sentence", "fence", "item", "mark"):
+            out.append((q, _whole(rng, q, a), -1))
         lang = language(q) or "en"
         out.append((q, _copy(rng, q), 1))
         out.append((q, _refusal(rng, lang), 2))
