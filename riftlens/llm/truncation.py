@@ -14,7 +14,8 @@ Three parts, each over all documents:
 
 Defined results
 * null, empty and blank texts are not cut; null sources are one source;
-* equal texts count once in the word statistics, so repeated deliveries do not vouch for each other, and get equal results;
+* copies of a text do not count in its own statistics, so repeated deliveries do not vouch for each other, and get equal
+  results;
 * a text whose last words are a stage direction is judged by what stands before it; a recorded break (dash and stage
   direction) is complete;
 * no documents give no rows; extra columns are ignored.
@@ -28,10 +29,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from riftlens.session import checkpointed
+
 #: Lengths beyond this are counted in bins of 1 %, so that a histogram has a bounded number of rows.
 FINE = 1 << 16
 #: Widths of the windows in which a limit can gather texts: exact, cut back to a character, cut back to a word and marked.
@@ -200,22 +203,30 @@ def _end_counts(ends: DataFrame, used: DataFrame, context: list[str], tag: str)
     return seen.select(*(F.col(c).alias(f"{c}{tag}") for c in context), F.col("word").alias(f"word{tag}"), F.col("ends").alias(f"ends{tag}"), F.greatest("n", "ends").alias(f"n{tag}"), F.col("longer").alias(f"longer{tag}"))
 
 
-def natural_ends(docs: DataFrame) -> DataFrame:
-    """before, last, word -> rate: how far such an open ending is that of a whole text.
+def end_counts(texts: DataFrame, open_ends: DataFrame) -> DataFrame:
+    """before, last, word -> texts that end so, uses, uses with a longer last word; after two words (3) and after one (2).
 
-    ``docs`` has text and the ending's natural, before, last, word.  Equal texts count once.  The estimate from two
-    preceding words backs off to that from one; the more natural of the two holds.
+    ``texts`` has text, ``open_ends`` before, last, word of each text with an open ending.  Texts are read where they lie;
+    only counts of words move.
     """
-    once = docs.dropDuplicates(["text"])
-    used = once.select("text").mapInPandas(_counts, "before string, last string, word string, n long").groupBy("before", "last", "word").agg(F.sum("n").alias("n"))
-    ends = once.where("natural < 0").groupBy("before", "last", "word").agg(F.count(F.lit(1)).alias("ends"))
+    used = texts.select("text").mapInPandas(_counts, "before string, last string, word string, n long").groupBy("before", "last", "word").agg(F.sum("n").alias("n"))
+    ends = open_ends.groupBy("before", "last", "word").agg(F.count(F.lit(1)).alias("ends"))
     three = _end_counts(ends, used, ["before", "last"], "3")
     two = _end_counts(ends, used, ["last"], "2")
     both = three.join(two, (F.col("last3") == F.col("last2")) & (F.col("word3") == F.col("word2")))
-    back = (F.col("ends2") - 1 + 0.1) / (F.col("n2") - 1 + F.col("longer2") + 1.0)
-    rate = (F.col("ends3") - 1 + back) / (F.col("n3") - 1 + F.col("longer3") + 1.0)
+    return both.select(F.col("before3").alias("before"), F.col("last3").alias("last"), F.col("word3").alias("word"), "ends3", "n3", "longer3", "ends2", "n2", "longer2")
+
+
+def natural_rate(copies: Column) -> Column:
+    """How far an open ending is that of a whole text; the text itself and its copies do not count.
+
+    The estimate from two preceding words backs off to that from one; the more natural of the two holds.
+    """
+    less = lambda c: F.greatest(F.col(c) - copies, F.lit(0))
+    back = (less("ends2") + 0.1) / (less("n2") + F.col("longer2") + 1.0)
+    rate = (less("ends3") + back) / (less("n3") + F.col("longer3") + 1.0)
     rate = F.greatest(F.lit(0.001), F.least(F.lit(0.99), F.greatest(rate, back)))
-    return both.select(F.col("before3").alias("before"), F.col("last3").alias("last"), F.col("word3").alias("word"), (rate * WHOLE / (1 + rate * (WHOLE - 1))).alias("rate"))
+    return rate * WHOLE / (1 + rate * (WHOLE - 1))
 
 
 def posteriors(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -226,12 +237,16 @@ def posteriors(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         return pd.DataFrame([ending(t) for t in texts], columns=["natural", "before", "last", "word"])
 
     at = limits(docs, text, source)
-    base = docs.where(F.length(F.col(text)) > 0).select(F.col(key).alias("__key"), F.col(source).alias("source"), F.col(text).alias("text")).withColumn("e", end_of("text"))
-    base = base.select("__key", "source", "text", "e.*")
-    rates = natural_ends(base.select("text", "natural", "before", "last", "word"))
-    slim = base.select("__key", "source", "natural", "before", "last", "word", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
-    cond = (slim["before"] == rates["before"]) & (slim["last"] == rates["last"]) & (slim["word"] == rates["word"]) & (slim["natural"] < 0)
-    judged = slim.join(rates, cond, "left").select("__key", "source", "chars", "bytes", F.when(F.col("natural") >= 0, F.col("natural")).otherwise(F.coalesce("rate", F.lit(0.1))).alias("natural"))
+    held = docs.where(F.length(F.col(text)) > 0)
+    slim = held.select(F.col(key).alias("__key"), F.col(source).alias("source"), F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("h"), end_of(text).alias("e"))
+    # a few short columns of each text; kept, as several steps start from them
+    slim = checkpointed(slim.select("__key", "source", "chars", "bytes", "h", "e.*"))
+    open_ends = slim.where("natural < 0")
+    counts = end_counts(held.select(F.col(text).alias("text")), open_ends)
+    copies = open_ends.groupBy("h", "chars").agg(F.count(F.lit(1)).alias("copies"))
+    known = open_ends.join(copies, ["h", "chars"]).join(counts, ["before", "last", "word"], "left")
+    rated = known.select("__key", "source", "chars", "bytes", F.coalesce(natural_rate(F.col("copies")), F.lit(0.1)).alias("natural"))
+    judged = slim.where("natural >= 0").select("__key", "source", "chars", "bytes", "natural").unionByName(rated)
     # a source has a handful of limits; they are gathered into one row per source
     per = at.groupBy("source").agg(F.collect_list(F.struct("unit", "lo", "hi", "odds")).alias("limits")).withColumnRenamed("source", "s")
     here = F.filter("limits", lambda x: F.when(x["unit"] == "chars", F.col("chars").between(x["lo"], x["hi"])).otherwise(F.col("bytes").between(x["lo"], x["hi"])))
