@@ -203,3 +203,16 @@ def changed_words(old: Column, new: Column) -> Column:
 def error_class(status: Column, message: Column) -> Column:
     """Kind of a failed call by its status, with the start of its message where the kind is general."""
     return F.when(status.isin(401, 403), "auth").when(status.isin(429, 529), "overloaded").otherwise(F.concat(F.lit("http:"), F.substring(message, 1, 500)))
+
+
+def segments(text: Column, tokens: Column, changes: Column) -> Column:
+    """The text cut at every bound of token and change ranges: array of struct(start, end, text), empty pieces left out.
+
+    Ranges are struct(start, end) from 0, the end not included; what lies outside of the text is clipped.
+    """
+    size = F.length(text)
+    bounds = lambda rs: F.flatten(F.transform(F.coalesce(rs, F.array().cast("array<struct<start:int,end:int>>")), lambda r: F.array(r["start"], r["end"])))
+    every = F.concat(F.array(F.lit(0), size), bounds(tokens), bounds(changes))
+    cuts = F.array_sort(F.array_distinct(F.transform(every, lambda x: F.greatest(F.lit(0), F.least(size, x)))))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cuts) - 1, F.lit(1))), lambda i: F.struct(F.get(cuts, i - 1).alias("start"), F.get(cuts, i).alias("end"), text.substr(F.get(cuts, i - 1) + 1, F.get(cuts, i) - F.get(cuts, i - 1)).alias("text")))
+    return F.filter(pieces, lambda p: p["end"] > p["start"])

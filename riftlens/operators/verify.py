@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from riftlens.functions import text as X
@@ -97,3 +98,34 @@ def cacheable(labels: DataFrame) -> DataFrame:
     """layout_id of layouts in which no cluster has the default title or summary."""
     poor = labels.where((F.col("title") == DEFAULT_TITLE) | (F.col("summary") == DEFAULT_SUMMARY)).select("layout_id").distinct()
     return labels.select("layout_id").distinct().join(poor, "layout_id", "left_anti")
+
+
+def identity_order(members: DataFrame) -> DataFrame:
+    """(cluster_id, pos, card_id): members as they were clustered, for clusters in order of their ids."""
+    w = Window.partitionBy("cluster_id").orderBy("member_pos")
+    return members.select("cluster_id", (F.row_number().over(w) - 1).alias("pos"), "card_id")
+
+
+def fits_one_call(members: DataFrame, most: int = 48, small: int = 12) -> DataFrame:
+    """Per layout: symbols, whether they are few, and whether grouping and order fit into one proposal."""
+    n = F.count(F.lit(1))
+    return members.groupBy("layout_id").agg(n.alias("symbols"), (n <= small).alias("is_small"), (n <= most).alias("combined_fits"))
+
+
+def proposal_payload(features: DataFrame) -> DataFrame:
+    """(seed_id, payload): a seed's features as JSON; empty lists and nulls are left out."""
+    lists = [c for c, t in features.dtypes if t.startswith("array")]
+    filled = features.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in lists})
+    return filled.select("seed_id", F.to_json(F.struct(*[c for c in filled.columns if c != "seed_id"])).alias("payload"))
+
+
+# closed shapes of proposal records: every field is required
+CLUSTERS_SHAPE = "struct<clusters:array<struct<clusterId:string,memberCardIds:array<string>,kind:string>>,unclustered:array<string>,clusterOrder:array<string>>"
+
+
+def read_proposals(replies: DataFrame, shape: str = CLUSTERS_SHAPE) -> DataFrame:
+    """Replies (layout_id, reply) that decode to the shape with all of its fields; fences and wrappers are taken off."""
+    decoded = replies.withColumn("record", F.from_json(X.strip_fence(X.unwrap_json(X.strip_fence(F.col("reply")))), shape))
+    for f in T.DataType.fromDDL(shape).fieldNames():
+        decoded = decoded.where(F.col(f"record.{f}").isNotNull())
+    return decoded.where("record is not null").select("layout_id", "record")

@@ -133,3 +133,19 @@ def pull_request(url: Column) -> Column:
 def local_branch(ref: Column) -> Column:
     """A branch name without its remote's prefix."""
     return F.regexp_replace(ref, r"^(refs/)?(remotes/|heads/)?(origin/)?", "")
+
+
+def resolve(revisions: DataFrame, refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """(rev, commit_id) of revisions that are a branch, a remote branch or tag, or the start of exactly one commit id.
+
+    ``refs`` has name and commit_id (peeled), ``commits`` commit_id; a name goes before an id.
+    """
+    short = F.regexp_replace("name", r"^refs/(heads|tags|remotes)/", "")
+    rank = F.when(F.col("name") == F.concat(F.lit("refs/tags/"), short), 1).when(F.startswith("name", F.lit("refs/remotes/")), 2).otherwise(0)
+    named = revisions.join(refs.select("name", short.alias("short"), F.col("commit_id").alias("c"), rank.alias("k")), (F.col("rev") == F.col("short")) | (F.col("rev") == F.col("name")))
+    by_name = named.groupBy("rev").agg(F.min_by("c", F.struct("k", "name")).alias("commit_id"))
+    ids = revisions.where(F.col("rev").rlike("^[0-9a-f]{4,40}$")).join(by_name, "rev", "left_anti")
+    # ids are matched on their first four signs, then in full
+    known = commits.select(F.col("commit_id").alias("c"), F.substring("commit_id", 1, 4).alias("p"))
+    by_id = ids.withColumn("p", F.substring("rev", 1, 4)).join(known, "p").where(F.startswith("c", F.col("rev"))).groupBy("rev").agg(F.min("c").alias("commit_id"), F.countDistinct("c").alias("n")).where("n = 1").drop("n")
+    return by_name.unionByName(by_id)

@@ -62,3 +62,10 @@ def test_highlight_and_changed_words(spark):
     assert tuple(ev(spark, X.highlight, "abc", "")) == ("abc", "", "")
     assert tuple(ev(spark, X.changed_words, "let a = 1;", "let bc = 1;")) == (4, 5, 6)
     assert tuple(ev(spark, X.changed_words, "", "x")) == (0, 0, 1)
+
+
+def test_segments(spark):
+    r = lambda *xs: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in xs))
+    got = one(spark, X.segments(F.lit("let abc = 1"), r((0, 3), (4, 7)), r((6, 99))))
+    assert [(p.start, p.end, p.text) for p in got] == [(0, 3, "let"), (3, 4, " "), (4, 6, "ab"), (6, 7, "c"), (7, 11, " = 1")]
+    assert one(spark, X.segments(F.lit(""), r((0, 3)), r((0, 1)))) == []

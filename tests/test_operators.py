@@ -225,3 +225,14 @@ def test_empty_tables(spark):
     for f in (lambda: C.gutter(empty, ["file_id"]), lambda: C.change_runs(empty, ["file_id"]), lambda: views.split_rows(empty, ["file_id"]), lambda: C.snippets(empty, ["file_id"])):
         assert f().count() == 0
     assert components.components(spark.createDataFrame([], "id long"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_proposals(spark):
+    m = spark.createDataFrame([("c2", 5, "x"), ("c2", 1, "y"), ("c1", 0, "z")], "cluster_id string, member_pos int, card_id string")
+    assert rows(verify.identity_order(m), "cluster_id", "pos", "card_id") == [("c1", 0, "z"), ("c2", 0, "y"), ("c2", 1, "x")]
+    assert rows(verify.fits_one_call(m.withColumn("layout_id", F.lit(1))), "symbols", "is_small", "combined_fits") == [(3, True, True)]
+    f = spark.createDataFrame([("s", ["a"], [], None)], "seed_id string, symbols array<string>, tests array<string>, kind string")
+    assert rows(verify.proposal_payload(f), "payload") == [('{"symbols":["a"]}',)]
+    good = '{"clusters":[{"clusterId":"c","memberCardIds":["a"],"kind":"flow"}],"unclustered":[],"clusterOrder":["c"]}'
+    replies = spark.createDataFrame([(1, good), (2, "```json\n" + good + "\n```"), (3, '{"structured_output":' + good + "}"), (4, '{"clusters":[]}'), (5, "no json"), (6, None)], "layout_id int, reply string")
+    assert rows(verify.read_proposals(replies), "layout_id") == [(1,), (2,), (3,)]

@@ -86,3 +86,10 @@ def test_verdicts(spark):
     acts = [("s", 1, "pass", "a"), ("s", 2, "pass", "b"), ("s", 3, "undo", None), ("s", 4, "pass", "c"), ("s", 5, "unpass", "a")]
     got = progress.fold_verdicts(spark.createDataFrame(acts, "session string, seq int, kind string, card_id string"))
     assert [r.card_id for r in got.collect()] == ["c"]
+
+
+def test_resolve(spark):
+    refs = spark.createDataFrame([("refs/heads/main", "aaaa1111"), ("refs/tags/main", "bbbb2222"), ("refs/remotes/origin/x", "cccc3333")], "name string, commit_id string")
+    commits = spark.createDataFrame([("aaaa1111",), ("bbbb2222",), ("abcd0001",), ("abcd0002",)], "commit_id string")
+    revs = spark.createDataFrame([("main",), ("origin/x",), ("bbbb",), ("abcd",), ("abcd0001",), ("none",)], "rev string")
+    assert dict(S.resolve(revs, refs, commits).collect()) == {"main": "aaaa1111", "origin/x": "cccc3333", "bbbb": "bbbb2222", "abcd0001": "abcd0001"}
