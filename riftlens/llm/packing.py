@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftlens.llm.tokens import VOCABULARY, token_count
-from riftlens.session import salted_rank
+from riftlens.session import checkpointed, salted_rank
 
 PLAN = "spec_name string, size int, rank_from long, rank_to long, per_bin long, bin_from long, slot_from int, at_from int"
 
@@ -79,7 +79,8 @@ def pack(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "te
 
     ``place`` counts from 0 within the container, ``token_from`` is the piece's first token within its document.
     """
-    sized = docs.select(F.col(key), token_count(F.col(text), vocabulary).alias("__tokens"))
+    # two short columns; kept, as the text would be counted again for each step below
+    sized = checkpointed(docs.select(F.col(key), token_count(F.col(text), vocabulary).alias("__tokens")))
     # the specifications are few (one row per kind of container); each document meets each of them
     spec_rows = [(r[0], int(r[1])) for r in specs.select("spec_name", "capacity_tokens").distinct().collect() if r[0] is not None and r[1] is not None and r[1] >= 1]
     spark = docs.sparkSession
