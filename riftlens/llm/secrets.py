@@ -61,6 +61,10 @@ _BARE = re.compile(r"""["'`\]]{0,2}[ \t]*(?:=|:)[ \t]*([^\s"'`,;(){}<>$\[\]]{6,}
 _PAIR_CALL = re.compile(rf"\s*{_STRING}\s*,\s*(?={_STRING})")
 _KEYED_CALL = re.compile(rf"""["']\s*,\s*(?={_STRING})""")
 _KEY_STRING = re.compile(r"""["'][\w.\- ]{0,40}$""")
+_NAMED = re.compile(r"""[ \t]+(?:is[ \t]+|was[ \t]+)?([`'"])([^`'"\s]{10,})\1""")
+_FLAG = re.compile(r"""(?:=|[ \t]+)(['"]?)([^\s'"`]{6,})\1(?=\s|$)""")
+_ENV = re.compile(r"=([^\s\"'`$<>(){};,]{6,})(?=[ \t])")
+_USER = re.compile(r"""[ \t=]*[\w.@-]+:(['"]?)([^\s'"`$<>]{4,})\1(?=\s|$|['"])""")
 _SCHEME_VALUE = re.compile(r"[ ]*([A-Za-z0-9+/=._~\-]{14,})")
 _URL = re.compile(r"""://[^\s/:@"'`<>{}$]*:([^\s@"'`/{}]+)@(?=[\w.\[\-])""")
 _SQL = re.compile(r"(?i)\s+(?:=\s*)?'([^'\n]+)'")
@@ -89,7 +93,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, words in (("noun", NOUNS), ("call", CALLS), ("scheme", SCHEMES), ("format", FORMATS), ("url", ("://",)), ("armor", ("-----begin ",)), ("sql", ("identified by", "login password", "with password")), ("prose", ("login", "log in", "logged in"))):
+    for kind, words in (("noun", NOUNS), ("call", CALLS), ("scheme", SCHEMES), ("format", FORMATS), ("url", ("://",)), ("armor", ("-----begin ",)), ("sql", ("identified by", "login password", "with password")), ("prose", ("login", "log in", "logged in")), ("user", (" -u ", " --user ", " --user=", " -u'"))):
         for w in words:
             kinds = (*a.get(w, ()), (kind, len(w)))
             a.add_word(w, kinds)
@@ -156,9 +160,21 @@ def scan(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
                     value = m.group(1)
                     if secretlike(value) and re.search(r"\d|[^\w.\-]", value) and re.search("[A-Za-z]", value) and not value.endswith((".", ":")):
                         keep("password" if "p" == text[start].lower() else "token", [m.span(1)])
+                    continue
                 if m := _SQL.match(text, end):
                     if secretlike(m.group(1)):
                         keep("password", [m.span(1)])
+                    continue
+                if (m := _NAMED.match(text, end)) and secretlike(m.group(2)) and re.search(r"\d", m.group(2)) and (len(m.group(2)) >= 16 or re.search(r"[^\w.\-/]", m.group(2))):
+                    keep("token", [m.span(2)])
+                    continue
+                flag = re.search(r"(?:^|\s)--?[\w-]*$", text[max(0, start - 40) : start])
+                m = _FLAG.match(text, end) if flag else _ENV.match(text, end) if text[start].isupper() else None
+                if m and secretlike(m.group(m.lastindex)) and re.search(r"\d|[^\w.\-/]", m.group(m.lastindex)):
+                    keep("password", [m.span(m.lastindex)])
+            elif kind == "user":
+                if (m := _USER.match(text, end)) and secretlike(m.group(2)):
+                    keep("password", [m.span(2)])
             elif kind == "url":
                 if (m := _URL.match(text, start)) and len(m.group(1)) >= 4 and not _PLACEHOLDER.search(m.group(1)) and not _ENV_NAME.match(m.group(1)) and not m.group(1).startswith("$") and m.group(1).lower() not in ("pass", "password", "passwd", "pwd", "secret"):
                     keep("url", [m.span(1)])
