@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from riftlens.functions import rules as R
 from riftlens.functions import text as X
 from riftlens.operators.verify import DEFAULT_TITLE
-from riftlens.session import global_rank
+from riftlens.session import global_rank, grouped_rank
 
 # fixed value: summary of clusters that were made by layers
 LAYERED_SUMMARY = "자동 분석에 실패하여 파일 경로·레이어 기준으로 묶은 변경 사항입니다."
@@ -22,8 +22,9 @@ def seed_order(members: DataFrame, group: list[str] | None = None) -> DataFrame:
     base = X.basename(F.col("name"))
     got = members.groupBy(*group, "seed_id").agg(F.min(rank).alias("layer"), F.min("name").alias("first_name"), F.count("name").alias("n"), F.countDistinct(base).alias("bases"), F.min(base).alias("base"))
     title = F.when(F.col("n") == 0, DEFAULT_TITLE).when(F.col("bases") == 1, F.col("base")).otherwise(F.col("first_name"))
-    order = Window.partitionBy(*group).orderBy(F.coalesce("layer", F.lit(R.OTHER_LAYER)), F.coalesce("first_name", F.lit("")), "seed_id")
-    return got.select(*group, "seed_id", F.coalesce("layer", F.lit(R.OTHER_LAYER)).alias("layer"), "first_name", title.alias("title"), F.row_number().over(order).alias("rank"))
+    named = got.select(*group, "seed_id", F.coalesce("layer", F.lit(R.OTHER_LAYER)).alias("layer"), "first_name", title.alias("title"))
+    ranked = grouped_rank(named, group, [F.col("layer"), F.coalesce("first_name", F.lit("")), F.col("seed_id")], "rank")
+    return ranked.select(*group, "seed_id", "layer", "first_name", "title", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def layered(members: DataFrame, group: list[str] | None = None) -> DataFrame:

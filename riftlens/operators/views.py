@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riftlens.functions import text as X
-from riftlens.session import global_rank
+from riftlens.session import grouped_rank
 
 # fixed values: context lines kept beside a change, lines that a fold hides at least, excerpt lines on each side
 CONTEXT, LEAST_HIDDEN, EXCERPT = 2, 4, 60
@@ -78,10 +78,7 @@ def flatten_order(ordered: DataFrame, cards: DataFrame, group: list[str] | None
     every = cards.groupBy(*group, "card_id").agg(F.min("seq").alias("__s"))
     joined = every.join(first, [*group, "card_id"], "left")
     order = [F.col("__p").isNull(), F.coalesce("__p", "__s"), F.col("__s"), F.col("card_id")]
-    if not group:
-        return global_rank(joined, order, "pos").select("card_id", F.col("pos").cast("int").alias("pos"))
-    w = Window.partitionBy(*group).orderBy(*order)
-    return joined.select(*group, "card_id", (F.row_number().over(w) - 1).alias("pos"))
+    return grouped_rank(joined, group, order, "pos").select(*group, "card_id", F.col("pos").cast("int").alias("pos"))
 
 
 def cluster_of(cards: DataFrame, layout: DataFrame, state: str) -> DataFrame:

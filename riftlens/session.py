@@ -58,3 +58,15 @@ def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     sizes = sizes.withColumn(base, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     numbered = keyed.withColumn(at, F.row_number().over(Window.partitionBy(pid).orderBy(*names)) - 1)
     return numbered.join(F.broadcast(sizes), pid).withColumn(out, F.col(at) + F.col(base)).drop(pid, at, base, *names)
+
+
+def grouped_rank(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """Rank from 0 within ``group`` by :func:`global_rank`, so that one group may hold any share of the rows; null is a group."""
+    if not group:
+        return global_rank(df, order, out)
+    ranked = global_rank(df, [*map(F.col, group), *order], f"__all_{out}")
+    first = ranked.groupBy(*(F.col(g).alias(f"__g_{g}") for g in group)).agg(F.min(f"__all_{out}").alias(f"__first_{out}"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return ranked.join(first, same).withColumn(out, F.col(f"__all_{out}") - F.col(f"__first_{out}")).drop(f"__all_{out}", f"__first_{out}", *(f"__g_{g}" for g in group))

@@ -109,9 +109,18 @@ def test_relations(spark):
     refs = spark.createDataFrame([("E", "call", "walk", False), ("E", "call", "Logger", False), ("F", "type", "T", False), ("E", "type", "T", True)], "card_id string, bucket string, ident string, in_header boolean")
     imports = spark.createDataFrame([("F", "run"), ("E", "walk")], "card_id string, ident string")
     got = rows(relations.pairs(changed, refs, imports), "a", "b", "grade")
+    assert got == rows(relations.pairs(changed, refs, imports, all_pairs=True), "a", "b", "grade")
     assert got == [("A", "B", "strong"), ("A", "C", "strong"), ("A", "F", "weak"), ("B", "C", "strong"), ("B", "E", "strong"), ("C", "E", "strong"), ("C", "F", "weak"), ("E", "F", "weak")]
 
 
+def test_group_links_join_what_all_pairs_join(spark):
+    df = spark.createDataFrame([(c, g) for c, g in zip("abcdefgh", "xxxxyyz" + "z", strict=True)] + [("i", None), ("j", "")], "card_id string, owner string")
+    nodes = df.select(F.col("card_id").alias("id"))
+    links, every = relations.group_links(df, "owner"), relations.group_pairs(df, "owner")
+    assert (links.count(), every.count()) == (5, 8)
+    assert rows(components.components(nodes, links), "id", "component") == rows(components.components(nodes, every), "id", "component")
+
+
 def symbols(spark, base, head):
     src = "\n".join
     def side(s, which):  # noqa: E306
