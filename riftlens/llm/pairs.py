@@ -56,16 +56,20 @@ _QUOTE = re.compile(r"(?m)^[ \t]*>[^\n]*(?:\n|\Z)")
 _LEAD = re.compile(r"(?i)^\W*(?:you asked|your question(?: was)?|question|ihre frage(?: war)?|frage|votre question(?: était)?|vous avez demandé|usted preguntó|su pregunta(?: fue)?|pregunta|질문하신 내용|질문)\s*[:：]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*", re.U)
 _BLANK = re.compile(r"(?i)^[\W_]*(?:n/?a|none|null|nil|undefined|no content|no answer|no response|empty|tbd|leer|kein inhalt|vide|vacío|없음)?[\W_]*$")
+_DIGITS = re.compile(r"\d+")
+_ELISION = re.compile(r"\b(?:[ldns]|qu)'")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 
 
 def _unquoted(answer: str) -> str:
-    return _LEAD.sub("", _QUOTE.sub("", answer))
+    return _LEAD.sub("", _QUOTE.sub("", answer) if ">" in answer else answer)
 
 
 def masked(text: str) -> str:
     """The prose of a text: code, paths and names of code out, digits as 9."""
-    return re.sub(r"\d+", "9", _CODE.sub(" ", _FENCE.sub(" ", text)))
+    if "```" in text:
+        text = _FENCE.sub(" ", text)
+    return _DIGITS.sub("9", _CODE.sub(" ", text))
 
 
 @lru_cache(maxsize=1)
@@ -79,20 +83,27 @@ def _lexicon() -> dict[str, tuple[str, ...]]:
 
 def language(text: str) -> str:
     """en, de, fr, es, ko, or empty where the prose does not tell."""
-    prose = masked(text).lower()
-    hangul = len(re.findall("[가-힣]", prose))
-    if hangul and hangul * 2 >= len(re.findall(r"[^\W\d_]", prose)) * 0.5:
-        return "ko"
+    prose = masked(text).lower().replace("’", "'")
+    return _language(prose, _WORD.findall(prose))
+
+
+def _language(prose: str, words: list[str]) -> str:
+    """The language of masked prose in lower case and its words."""
     votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
     lexicon = _lexicon()
-    for w in _WORD.findall(prose.replace("’", "'")):
-        for part in (w, *w.split("'")) if "'" in w else (w,):
-            langs = lexicon.get(part, ())
-            for lang in langs:
-                votes[lang] += 1.0 / len(langs)
-    votes["de"] += 0.7 * len(re.findall("[äöüß]", prose))
-    votes["es"] += 0.7 * len(re.findall("[ñ¿¡íóú]", prose))
-    votes["fr"] += 0.7 * len(re.findall("[èêçàùœ]|\\bl'|\\bd'|\\bn'|\\bs'|\\bqu'", prose))
+    if not prose.isascii():
+        hangul = len(re.findall("[가-힣]", prose))
+        if hangul and hangul * 4 >= len(re.findall(r"[^\W\d_]", prose)):
+            return "ko"
+        votes["de"] += 0.7 * sum(map(prose.count, "äöüß"))
+        votes["es"] += 0.7 * sum(map(prose.count, "ñ¿¡íóú"))
+        votes["fr"] += 0.7 * sum(map(prose.count, "èêçàùœ"))
+    if "'" in prose:
+        votes["fr"] += 0.7 * len(_ELISION.findall(prose))
+        words = [p for w in words for p in ((w, *w.split("'")) if "'" in w else (w,))]
+    for w in words:
+        for lang in lexicon.get(w, ()):
+            votes[lang] += _SHARES[w]
     best = sorted(votes, key=lambda x: (-votes[x], x))
     return best[0] if votes[best[0]] >= 0.9 and votes[best[0]] >= 1.3 * votes[best[1]] else ""
 
@@ -107,6 +118,9 @@ def asked(question: str) -> str:
     return ""
 
 
+#: The vote of a function word is shared by the languages that have it.
+_SHARES = {w: 1.0 / sum(w in ws for ws in FUNCTION_WORDS.values()) for ws in FUNCTION_WORDS.values() for w in ws}
+
 ENDS = ("none", "sentence", "fence", "item", "mark", "open_fence", "open_code", "ellipsis", "colon", "bare", "fragment")
 
 
@@ -139,46 +153,63 @@ def end_of(answer: str) -> str:
 PAIR_FEATURES = 26
 
 
-def _dense(question: str, answer: str) -> list[float]:
+class _Hashes(dict):
+    """Word -> hash, filled as words come; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = zlib.crc32(word.encode())
+        return h
+
+
+_HASHES = _Hashes()
+_MASK = (1 << BITS) - 1
+
+
+def _grams(words: list[str]) -> np.ndarray:
+    """Distinct hashed positions of the words, pairs and triples of a text."""
+    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    two = h[:-1] * np.uint64(0x9E3779B1) + h[1:] + np.uint64(7)
+    three = two[:-1] * np.uint64(0x85EBCA77) + h[2:] + np.uint64(13)
+    at = np.concatenate((h, two ^ (two >> np.uint64(17)), three ^ (three >> np.uint64(17))))
+    return np.unique((at & np.uint64(_MASK)).astype(np.int64))
+
+
+def features(question: str | None, answer: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-gram positions (distinct, sorted) and the dense pair features."""
+    question, answer = question or "", answer or ""
     body = _unquoted(answer)
-    q = [w.lower() for w in _WORD.findall(question)]
-    full = [w.lower() for w in _WORD.findall(answer)]
-    a = [w.lower() for w in _WORD.findall(body)]
-    blank = bool(_BLANK.match(answer)) or (not full)
-    grams = set(zip(["^", *q], [*q, "$"], strict=True))
-    own = list(zip(["^", *a], [*a, "$"], strict=True)) if a else []
-    within = sum(g in grams for g in own) / len(own) if own else 0.0
-    # of the answer as it stands, quotes and lead-in taken as copies
-    rest = [w for w in a]
-    n = len(q)
-    if n:
-        for i in range(len(rest) - n + 1):
-            if rest[i : i + n] == q:
-                del rest[i : i + n]
-                break
-    copied = bool(full) and not rest and (len(a) > 0 or set(full) <= set(q) and len(full) * 2 > n)
-    left = len(rest)
-    covers = len(set(q) & set(full)) / len(set(q)) if q else 0.0
-    lq, la, want = language(question), language(body if a else ""), asked(question)
+    q = _WORD.findall(question.lower())
+    a = _WORD.findall(body.lower())
+    full = a if len(body) == len(answer) else _WORD.findall(answer.lower())
+    blank = not full or len(answer) < 40 and bool(_BLANK.match(answer))
+    own = set(zip(["^", *q], [*q, "$"], strict=True))
+    within = sum(map(own.__contains__, zip(["^", *a], [*a, "$"], strict=True))) / (len(a) + 1) if a else 0.0
+    # what is left of the answer beyond its question, quotes and lead-in taken as copies
+    rest, n = a, len(q)
+    if n and len(a) >= n and q[0] in a:
+        at = next((i for i in range(len(a) - n + 1) if a[i] == q[0] and a[i : i + n] == q), -1)
+        rest = a if at < 0 else a[:at] + a[at + n :]
+    distinct = set(q)
+    copied = bool(full) and not rest and (len(a) > 0 or distinct.issuperset(full) and len(full) * 2 > n)
+    covers = len(distinct.intersection(full)) / len(distinct) if copied and q else 0.0
+    prose = masked(body).lower().replace("’", "'")
+    words = _WORD.findall(prose)
+    lq, la, want = language(question), _language(prose, words) if a else "", asked(question)
     other = bool(lq and la and la != lq and la != want)
     end = end_of(answer)
     whole = not blank and not copied
-    return [
-        1.0, float(blank), float(copied), float(within > 0.8 and not blank), within if whole else 0.0, covers * float(copied), min(left, 30) / 30, float(0 < left <= 4),
+    dense = [
+        1.0, float(blank), float(copied), float(within > 0.8 and not blank), within if whole else 0.0, covers, min(len(rest), 30) / 30, float(0 < len(rest) <= 4),
         float(other and whole), float(bool(want) and la == want), float(la == "" and whole), float(whole and not other),
-        *(float(end == e and whole) for e in ENDS), float(bool(_QUOTE.search(answer))), float("```" in answer), float(answer != answer.strip()),
+        *(float(end == e and whole) for e in ENDS), float(len(body) != len(answer) and ">" in answer), float("```" in answer), float(answer != answer.strip()),
     ]
-
-
-def features(question: str | None, answer: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-gram positions (distinct, sorted) and the dense pair features."""
-    question, answer = question or "", answer or ""
-    words = ["^", *(w.lower() for w in _WORD.findall(masked(_unquoted(answer)))), "$"]
-    grams = {*words, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))}
-    if re.search("[가-힣]", answer):
-        grams |= {"k:" + w[-3:] for w in words} | {"k:" + w[:2] for w in words}
-    at = np.unique(np.fromiter((zlib.crc32(g.encode()) & ((1 << BITS) - 1) for g in grams), dtype=np.int64))
-    return at, np.asarray(_dense(question, answer))
+    grams = ["^", *words, "$"]
+    at = _grams(grams)
+    if la == "ko":
+        at = np.unique(np.concatenate((at, _grams([*("k:" + w[-3:] for w in grams), *("k:" + w[:2] for w in grams)]))))
+    return at, np.asarray(dense)
 
 
 # what refusals are made of, by language: openings, what is declined, closings
