@@ -4,7 +4,8 @@ From the tokens of each source and its cap on repeats follows the largest total
 s then needs ``share * T`` tokens: every document floor(need/has) times, and once more with the inclusion probability
 need/has - floor.  The cube method turns these probabilities into a choice: in the flight phase, vectors of
 probabilities are moved through the null space of the constraints (number of documents, number of tokens) until all but
-two entries are 0 or 1; the landing phase settles the last two where the totals come out nearest.
+two entries are 0 or 1; the landing phase settles the last two where the totals come out nearest, and exchanges one chosen
+document where that comes nearer still.
 
 A source is flown in blocks of at most ``block`` documents, each block by one task; the two documents that a block leaves
 open go to the next round, so rounds number about log(n) to the base block/2 and no task or driver holds a source.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -74,14 +76,28 @@ def land(p: list[float], tokens: Sequence[float], open_: Sequence[int]) -> None:
         p[j] = float(best >> k & 1)
 
 
+def swap(p: list[float], tokens: Sequence[float], among: Sequence[int], over: float) -> None:
+    """Exchange one chosen for one unchosen entry where that brings the token total, ``over`` its target, nearest to it."""
+    out = sorted((tokens[j], j) for j in among if p[j] == 0.0)
+    best = (abs(over), -1, -1)
+    for i in (j for j in among if p[j] == 1.0):
+        k = bisect_left(out, (tokens[i] - over, -1))
+        for t, j in out[max(0, k - 1) : k + 1]:
+            best = min(best, (abs(over - tokens[i] + t), i, j))
+    if best[1] >= 0:
+        p[best[1]], p[best[2]] = 0.0, 1.0
+
+
 def _round(level: int, seed: int, blocks: dict[str, int]):
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("__key", kind="stable", ignore_index=True)
         rng = random.Random(zlib.crc32(f"{seed}|{level}|{key}".encode()))
         p, tokens = block["p"].tolist(), block["tokens"].astype(float).tolist()
+        goal, among = sum(a * b for a, b in zip(p, tokens, strict=True)), range(len(p))
         open_ = fly(p, tokens, rng)
         if blocks[key[0]] <= 1:
             land(p, tokens, open_)
+            swap(p, tokens, among, sum(a * b for a, b in zip(p, tokens, strict=True)) - goal)
         return block.assign(p=p)
 
     return run

@@ -75,6 +75,16 @@ def test_flight_keeps_its_sums(units, seed):
     assert all(x in (0.0, 1.0) for x in p)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 40)), min_size=2, max_size=30), st.integers(-60, 60))
+def test_swap_equals_trying_all(units, over):
+    p, t = [float(u[0]) for u in units], [float(u[1]) for u in units]
+    want = min([abs(over), *(abs(over - t[i] + t[j]) for i in range(len(p)) for j in range(len(p)) if p[i] and not p[j])])
+    before, n = sum(a * b for a, b in zip(p, t, strict=True)), sum(p)
+    mixing.swap(p, t, range(len(p)), float(over))
+    assert abs(over + sum(a * b for a, b in zip(p, t, strict=True)) - before) == want and sum(p) == n
+
+
 def test_inclusion_follows_the_probabilities():
     """Landing takes the nearest total, so with few units it leans; over many units it hardly shows."""
     hits = Counter()
