@@ -93,3 +93,50 @@ def test_resolve(spark):
     commits = spark.createDataFrame([("aaaa1111",), ("bbbb2222",), ("abcd0001",), ("abcd0002",)], "commit_id string")
     revs = spark.createDataFrame([("main",), ("origin/x",), ("bbbb",), ("abcd",), ("abcd0001",), ("none",)], "rev string")
     assert dict(S.resolve(revs, refs, commits).collect()) == {"main": "aaaa1111", "origin/x": "cccc3333", "bbbb": "bbbb2222", "abcd0001": "abcd0001"}
+
+
+@pytest.fixture
+def repo(tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    write = lambda p, b: ((tmp_path / p).parent.mkdir(parents=True, exist_ok=True), (tmp_path / p).write_bytes(b))
+    git("init", "-q", "-b", "main")
+    write("a/svc.go", b"package a\n\nfunc Old() int {\n\treturn 1\n}\n")
+    write("gone.txt", b"bye\n")
+    write("move.txt", b"same text\n")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    git("checkout", "-qb", "work")
+    write("a/svc.go", b"package a\n\nfunc Old() int {\n\treturn 2\n}\n")
+    write("pic.bin", b"\0\1\2")
+    (tmp_path / "gone.txt").unlink()
+    (tmp_path / "move.txt").rename(tmp_path / "moved.txt")
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    git("checkout", "-q", "main")
+    write("later.txt", b"on main only\n")
+    git("add", "-A")
+    git("commit", "-qm", "three")
+    return str(tmp_path)
+
+
+def test_git_repository(spark, repo):
+    from riftlens.plans import review
+    from riftlens.sources import git
+
+    assert git.resolve_shas(repo, "main", "work")[0] == git.resolve_commit(repo, "main~1")
+    with pytest.raises(ValueError):
+        git.resolve_commit(repo, "none")
+    names = {r.name: r.is_current for r in git.branches(spark, repo).collect()}
+    assert names == {"main": True, "work": False}
+    assert {r.path for r in git.tree(spark, repo, "main").collect()} == {"a/svc.go", "gone.txt", "move.txt", "later.txt"}
+    files, lines = git.three_dot(spark, repo, "main", "work")
+    got = {(r.new_path, r.old_path, r.status, r.is_binary) for r in files.collect()}
+    assert got == {("a/svc.go", "a/svc.go", "Modified", False), ("gone.txt", "gone.txt", "Deleted", False), ("moved.txt", "move.txt", "Modified", False), ("pic.bin", "pic.bin", "Added", True)}
+    changed = sorted((r.kind, r.content) for r in lines.where("kind <> 'ctx'").collect())
+    assert changed == [("add", "\treturn 2"), ("del", "\treturn 1"), ("del", "bye")]
+    f = files.withColumns({"file_id": F.col("file_seq").cast("string"), "ingested_at": F.lit(0)})
+    made = review.review(f, lines.withColumn("file_id", F.col("file_seq").cast("string")))
+    assert [(r.card_id, r.summary) for r in made.cards.orderBy("card_id").collect()] == [("a/svc.go::__file", "Updates svc.go: +1 −1 lines."), ("gone.txt::__file", "Removes gone.txt: −1 line."), ("pic.bin::__file", "Adds binary file pic.bin.")]
+    assert [(r.card_id, r.rank) for r in made.layout.collect()] == [("a/svc.go::__file", 1)]
