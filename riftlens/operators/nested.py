@@ -100,8 +100,12 @@ def label(root, list_keys: frozenset[str], map_keys: frozenset[str], keep_keys:
 NODE = "dewey string, ordinal int, schema_path string, value string, fields map<string,string>"
 
 
-def dewey_nodes(df: DataFrame, keys: Sequence[str], payload: str, list_keys: Sequence[str] = (), map_keys: Sequence[str] = (), keep_keys: Sequence[str] = (), wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
-    """One row per node: ``keys``, dewey, parent_dewey, ordinal, schema_path, value (scalars), fields (an object's scalars)."""
+def dewey_nodes(df: DataFrame, keys: Sequence[str], payload: str, list_keys: Sequence[str] = (), map_keys: Sequence[str] = (), keep_keys: Sequence[str] = (), wrappers: Sequence[str] = WRAPPERS, paths: Sequence[str] | None = None, fields: Sequence[str] | None = None) -> DataFrame:
+    """One row per node: ``keys``, dewey, parent_dewey, ordinal, schema_path, value (scalars), fields (an object's scalars).
+
+    ``paths`` and ``fields`` name the schema paths and the fields that are wanted, where not all are.
+    """
+    only, named = (frozenset(x) if x is not None else None for x in (paths, fields))
     lists, maps, keeps, wraps, keys = frozenset(list_keys), frozenset(map_keys), frozenset(keep_keys), tuple(wrappers), list(keys)
     columns = [*keys, *(f.split(" ")[0] for f in NODE.split(", "))]
 
@@ -111,7 +115,9 @@ def dewey_nodes(df: DataFrame, keys: Sequence[str], payload: str, list_keys: Seq
             for *key, text in batch.itertuples(index=False, name=None):
                 record = unwrap(text, wraps)
                 if record:
-                    rows.extend((*key, *node) for node in label(record, lists, maps, keeps))
+                    for dewey, ordinal, path, value, got in label(record, lists, maps, keeps):
+                        if only is None or path in only:
+                            rows.append((*key, dewey, ordinal, path, value, got if named is None else {k: v for k, v in got.items() if k in named}))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -137,9 +143,14 @@ LAYOUT_LISTS = ("clusters", "members", "memberCardIds", "orderedCardIds", "units
 LAYOUT_MAPS = ("clusters", "cardUnits")
 
 
-def layout_nodes(entries: DataFrame) -> DataFrame:
-    """Labelled nodes of stored layouts; ``entries`` has store, entry_id, payload."""
-    return dewey_nodes(entries, ["store", "entry_id"], "payload", LAYOUT_LISTS, LAYOUT_MAPS, ["cardSummaries"])
+LINK_PATHS = ("", "clusters[]", "clusters[].memberCardIds[]", "clusters[].orderedCardIds[]", "clusters[].members[]", "clusters[].members[].units[]", "cardUnits[]", "cardUnits[][]", "cardUnits[].units[]", "unclustered[]", "mergeSuggestions[]", "mergeSuggestions[].clusterIds[]", "splitSuggestions[]", "splitSuggestions[].clusterIds[]")
+LINK_FIELDS = ("id", "clusterId", "cardId", "title", "@key")
+
+
+def layout_nodes(entries: DataFrame, links_only: bool = False) -> DataFrame:
+    """Labelled nodes of stored layouts, or those that links need; ``entries`` has store, entry_id, payload."""
+    chosen = {"paths": LINK_PATHS, "fields": LINK_FIELDS} if links_only else {}
+    return dewey_nodes(entries, ["store", "entry_id"], "payload", LAYOUT_LISTS, LAYOUT_MAPS, ["cardSummaries"], **chosen)
 
 
 def layout_links(nodes: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def layout_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.layout_links(nested.layout_nodes(layout_entries(spark, d)))
+    return nested.layout_links(nested.layout_nodes(layout_entries(spark, d), links_only=True))
 
 
 @query()
