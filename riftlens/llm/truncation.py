@@ -172,7 +172,7 @@ def ending(text: str | None) -> tuple[float, str, str, str]:
         return 0.9995, "", "", ""
     if _WORD_END.search(tail):
         return 0.9995, "", "", ""
-    if re.search(r"[,;:–—\-/&]$", tail):
+    if re.search(r"[,;:–—\-/&\ufffd]$", tail):
         return 0.01, "", "", ""
     last = words(near)[-3:]
     last = ["^"] * (3 - len(last)) + last
@@ -197,7 +197,8 @@ def _end_counts(ends: DataFrame, used: DataFrame, context: list[str], tag: str)
     for c in context:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     whole = F.when(F.col("b.word") == F.col("a.word"), F.col("b.n")).otherwise(0)
-    on = F.col("b.word").substr(F.length("a.word") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    # a mark after the word, where it is usual, tells as much as more letters
+    on = F.col("b.word").substr(F.length("a.word") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}.,;:!?'’]")
     longer = F.when(on, F.col("b.n")).otherwise(0)
     seen = a.join(b, same, "left").groupBy(*(f"a.{c}" for c in context), "a.word", "a.ends").agg(F.coalesce(F.sum(whole), F.lit(0)).alias("n"), F.coalesce(F.sum(longer), F.lit(0)).alias("longer"))
     return seen.select(*(F.col(c).alias(f"{c}{tag}") for c in context), F.col("word").alias(f"word{tag}"), F.col("ends").alias(f"ends{tag}"), F.greatest("n", "ends").alias(f"n{tag}"), F.col("longer").alias(f"longer{tag}"))

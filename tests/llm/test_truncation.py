@@ -68,7 +68,7 @@ def test_limits_are_found():
     "text, natural",
     [
         (None, 1.0), ("", 1.0), ("  \n", 1.0), ("It is so.", 0.9995), ("Is it so?", 0.9995), ("He said “so.”", 0.9995), ("So it goes. (Laughter)\n[Noise]", 0.9995), ("The end –\n(The Chair withdraws the floor.)", 0.9995), ("(Laughter)", 1.0),
-        ("It is so, and", -1.0), ("It is so,", 0.01), ("It goes on …", 0.01), ("It goes [...]", 0.01), ("It goes (more)", 0.01), ("It is (Laugh", 0.02), ("He said “so", 0.02), ("the Regieru-", 0.01),
+        ("It is so, and", -1.0), ("It is so,", 0.01), ("It goes on …", 0.01), ("It goes [...]", 0.01), ("It goes (more)", 0.01), ("It is (Laugh", 0.02), ("He said “so", 0.02), ("the Regieru-", 0.01), ("muss es erkl\ufffd", 0.01),
     ],
 )
 def test_endings(text, natural):
