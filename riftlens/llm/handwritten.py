@@ -13,7 +13,8 @@ The upstream files are a fixed small table; its size is checked before it is sen
 searched by a join on shingles instead.
 
 Defined results
-* null, empty and binary sources and deleted files give no rows, nor do other extensions; equal rows count once;
+* a file flagged binary that has no text is *binary* by its flag; one flagged binary that has text all the same gives no rows;
+* other files with a null or empty source give no rows, nor do deleted files and other extensions; equal rows count once;
 * banner words in strings, in comments between code, and in prose comments do not count;
 * an empty or missing upstream table leaves the other tests; extra columns are ignored.
 """
@@ -146,7 +147,8 @@ def verdict(path: str, text: str, upstream: Upstream) -> str | None:
 def not_handwritten(files: DataFrame, upstream: DataFrame | None = None) -> DataFrame:
     """file_id, reason of the files that were not written by hand here."""
     ext = F.element_at(F.split(F.element_at(F.split("new_path", "/"), -1), r"\."), -1)
-    todo = files.where("coalesce(status, '') <> 'Deleted' and not coalesce(is_binary, false) and length(new_source) > 0").where(ext.isin(*CODE) & F.col("new_path").contains(".")).select("file_id", "new_path", "new_source")
+    # with text or flagged binary, not both
+    todo = files.where("coalesce(status, '') <> 'Deleted' and coalesce(is_binary, false) <> (coalesce(length(new_source), 0) > 0)").where(ext.isin(*CODE) & F.col("new_path").contains(".")).select("file_id", "new_path", "new_source")
     known: list[str] = []
     if upstream is not None:
         size = upstream.agg(F.coalesce(F.sum(F.length("source")), F.lit(0))).first()[0]
@@ -157,7 +159,7 @@ def not_handwritten(files: DataFrame, upstream: DataFrame | None = None) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shelf = Upstream(known)
         for batch in batches:
-            out = [(f, why) for f, p, t in batch.itertuples(index=False, name=None) if (why := verdict(p, t, shelf))]
+            out = [(f, why) for f, p, t in batch.itertuples(index=False, name=None) if (why := verdict(p, t, shelf) if t else "binary")]
             yield pd.DataFrame(out, columns=["file_id", "reason"])
 
     return todo.mapInPandas(run, T.StructType([files.schema["file_id"]]).add("reason", "string")).distinct()

@@ -74,3 +74,9 @@ def test_on_a_table(spark):
     assert {r.file_id for r in H.not_handwritten(df, up).collect()} & {"h", "d", "b", "n", "e", "p", "t"} == set()
     assert H.not_handwritten(df.limit(0), up.limit(0)).count() == 0
     assert H.not_handwritten(df).where("file_id = 'v'").count() == 1
+
+
+def test_files_flagged_binary_are_found_by_their_flag(spark):
+    rows = [("a", "a/x.go", "Added", True, None), ("m", "a/x.java", "Modified", True, ""), ("s", "a/x.py", None, True, None), ("d", "a/x.go", "Deleted", True, ""), ("t", "a/x.bin", "Added", True, None), ("e", "a/x.go", "Added", False, None), ("u", "a/x.go", "Added", None, "")]
+    df = spark.createDataFrame(rows, "file_id string, new_path string, status string, is_binary boolean, new_source string")
+    assert sorted(map(tuple, H.not_handwritten(df).collect())) == [("a", "binary"), ("m", "binary"), ("s", "binary")]
