@@ -108,8 +108,10 @@ def layout(lang: str, text: str) -> dict[str, float]:
     literals = flat.count("s") + flat.count("n")
     rest = total - literals - flat.count(",") - flat.count("P")
     odd = sum(1 for c in text if c < " " and c not in "\n\r\t\f" or c in "�\x7f") if "�" in text or not text.isprintable() else 0
-    lettered = [lexing.class_string(lang, line) for line in code_lines] if lines <= 4000 else []
-    shapes = Counter(x for x in lettered if len(x) > 1)
+    shapes: Counter = Counter()
+    for line, n in Counter(code_lines).items():
+        if len(x := lexing.class_string(lang, line)) > 1:
+            shapes[x] += n
     two = [n for _, n in shapes.most_common(2)]
     top = two[0] if two else 0
     # a run of two alternating shapes counts as well as one
@@ -117,7 +119,7 @@ def layout(lang: str, text: str) -> dict[str, float]:
     literal_chars = sum(len(t) for t, k in zip(split, map(lexing.classes, repeat(lang), ([t] for t in split)), strict=True) if k in "sn" and k) if literals * 3 > total else 0
     return {
         "tokens": total, "lines": lines, "expansion": edges / lines, "line_length": len(text) / lines, "literal": literals / max(1, literals + rest), "literals": literals,
-        "odd": odd / max(1, len(text)), "uniform": pair / max(1, len(lettered)), "top": top, "literal_chars": literal_chars / max(1, len(text)), "errors": flat.count("E") / total,
+        "odd": odd / max(1, len(text)), "uniform": pair / lines, "top": top, "literal_chars": literal_chars / max(1, len(text)), "errors": flat.count("E") / total,
     }
 
 

@@ -80,3 +80,9 @@ def test_files_flagged_binary_are_found_by_their_flag(spark):
     rows = [("a", "a/x.go", "Added", True, None), ("m", "a/x.java", "Modified", True, ""), ("s", "a/x.py", None, True, None), ("d", "a/x.go", "Deleted", True, ""), ("t", "a/x.bin", "Added", True, None), ("e", "a/x.go", "Added", False, None), ("u", "a/x.go", "Added", None, "")]
     df = spark.createDataFrame(rows, "file_id string, new_path string, status string, is_binary boolean, new_source string")
     assert sorted(map(tuple, H.not_handwritten(df).collect())) == [("a", "binary"), ("m", "binary"), ("s", "binary")]
+
+
+def test_uniform_lines_mark_files_of_any_length(shelf):
+    cases = "".join(f"    if s == {i}: return t{i * 7 % 40}\n" for i in range(9000))
+    assert H.layout("py", cases)["top"] == 9000 and H.layout("py", cases)["uniform"] == 1.0
+    assert H.verdict("x.py", "def t(s):\n" + cases + "    return -1\n", shelf) == "generated"
