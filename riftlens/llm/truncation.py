@@ -133,8 +133,10 @@ def fit(histogram: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
 
 def limits(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """Candidate limits per source and unit: source, unit, lo, hi, odds that a text of such a length was cut."""
-    n = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("n"))))
-    each = docs.where(F.length(text) > 0).select(F.col(source).alias("source"), n.alias("x")).select("source", "x.*")
+    n = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n"))))
+    # copies within a source count once; they meet by hash, and no text moves
+    held = docs.where(F.length(text) > 0).select(F.col(source).alias("source"), F.xxhash64(text).alias("h"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).distinct()
+    each = held.select("source", n.alias("x")).select("source", "x.*")
     binned = F.when(F.col("n") <= FINE, F.col("n").cast("double")).otherwise(F.pow(F.lit(1.01), F.round(F.log(F.col("n")) / math.log(1.01))))
     counted = each.groupBy("source", "unit", F.round(binned).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("texts"))
 

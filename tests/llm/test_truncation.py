@@ -81,3 +81,13 @@ def test_edges(spark):
     got = {r.doc_id for r in T.truncated(df).collect()}
     assert not got & {1, 2, 3, 5, None}
     assert T.truncated(df.limit(0)).count() == 0 and T.rates(df.limit(0)).count() == 0 and T.limits(df.limit(0)).count() == 0
+
+
+def test_copies_make_no_limit(spark):
+    rng = random.Random(5)
+    rows = [(i, speech(rng, max(1, int(rng.lognormvariate(1.6, 0.8)))), "a") for i in range(300)]
+    vote = "The motion on the harbour dues of the northern district was put to the vote and carried with Ayes: 212 Noes: 97"
+    rows += [(1000 + i, vote, "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r for r in T.limits(df).collect() if r.lo <= len(vote) <= r.hi] == []
+    assert T.posteriors(df).where("doc_id >= 1000 and odds > 0").count() == 0
