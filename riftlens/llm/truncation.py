@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +36,6 @@ from pyspark.sql.functions import pandas_udf
 
 from riftlens.session import checkpointed
 
-#: Lengths beyond this are counted in bins of 1 %, so that a histogram has a bounded number of rows.
-FINE = 1 << 16
 #: Widths of the windows in which a limit can gather texts: exact, cut back to a character, cut back to a word and marked.
 WIDTHS = (1, 4, 24)
 #: A window is a limit when it holds this many times what is expected, and this many texts at least.
@@ -48,6 +47,7 @@ LIMITS = "source string, unit string, lo long, hi long, odds double"
 _WORD_END = re.compile(r"[.!?][\"'”“»’)\]]*$|[.!?][\"'”“»’)\] ]*[”“»’]$")
 _TRAIL = re.compile(r"\s*[(\[][^()\[\]]*[)\]]\s*$")
 _MARK = re.compile(r"(…|\.\.\.|\[…\]|\(…\)|[(\[](?i:more|continued|cont\.|mehr|weiter|fortsetzung folgt|suite|lire la suite|sigue|continúa|más)[)\]])$")
+_PAIRED = re.compile(r"[()\[\]«»„“”]")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"\b(?:[^\W\d_a-zß-öø-ÿ][\w’'-]*\.?,? )*[^\W\d_a-zß-öø-ÿ][\w’'-]*")
 
@@ -94,7 +94,8 @@ def fit(histogram: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
         return rate
 
     def expected(rate, lo: int, hi: int) -> float:
-        start = next((at_risk[n] for n in lengths if n >= lo), 0)
+        i = bisect_left(lengths, lo)
+        start = at_risk[lengths[i]] if i < len(lengths) else 0
         inside = sum(counts[n] for n in range(lo, hi + 1) if n in counts) if hi - lo < 64 else 0
         # those cut within the window are not at risk of ending by themselves there
         return max(start - inside / 2, 0.0) * rate(hi) * (hi - lo + 1)
@@ -109,7 +110,7 @@ def fit(histogram: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
                 while lengths[first] <= n - w:
                     running -= counts[lengths[first]]
                     first += 1
-                if n > FINE or running < LEAST or n < 64:
+                if running < LEAST:
                     continue
                 want = expected(rate, n - w + 1, n)
                 if running >= EXCESS * want:
@@ -132,13 +133,15 @@ def fit(histogram: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
 
 
 def limits(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Candidate limits per source and unit: source, unit, lo, hi, odds that a text of such a length was cut."""
+    """Candidate limits per source and unit: source, unit, lo, hi, odds that a text of such a length was cut.
+
+    Every length is counted exactly; a histogram has at most as many rows as a source has lengths.
+    """
     n = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n"))))
     # copies within a source count once; they meet by hash, and no text moves
     held = docs.where(F.length(text) > 0).select(F.col(source).alias("source"), F.xxhash64(text).alias("h"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).distinct()
     each = held.select("source", n.alias("x")).select("source", "x.*")
-    binned = F.when(F.col("n") <= FINE, F.col("n").cast("double")).otherwise(F.pow(F.lit(1.01), F.round(F.log(F.col("n")) / math.log(1.01))))
-    counted = each.groupBy("source", "unit", F.round(binned).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("texts"))
+    counted = each.groupBy("source", "unit", F.col("n").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("texts"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = fit(list(zip(pdf["n"].tolist(), pdf["texts"].tolist(), strict=True)))
@@ -153,6 +156,28 @@ def words(text: str) -> list[str]:
     return _NAME.sub("X", _DIGITS.sub("9", text)).split()
 
 
+def unclosed(text: str) -> bool:
+    """Whether a bracket or a quote that was opened anywhere in the text is open at its end.
+
+    Brackets nest; of quotes the last mark tells.  A “ closes where a „ is open and opens elsewhere.
+    """
+    depth, guillemet, low, high = 0, False, False, False
+    for c in _PAIRED.findall(text):
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth = max(0, depth - 1)
+        elif c in "«»":
+            guillemet = c == "«"
+        elif c == "„":
+            low = True
+        elif c == "“" and not low:
+            high = True
+        else:
+            low = high = False
+    return depth > 0 or guillemet or low or high
+
+
 def ending(text: str | None) -> tuple[float, str, str, str]:
     """(share of natural ends among such endings or -1 where the words must tell, the two words before the last, the last)."""
     body = (text or "").rstrip()
@@ -165,10 +190,7 @@ def ending(text: str | None) -> tuple[float, str, str, str]:
         tail, aside = tail[: max(0, len(tail) - 2000) + m.start()], True
     if not tail:
         return 1.0, "", "", ""
-    near = tail[-2000:]
-    if max(near.rfind("("), near.rfind("[")) > max(near.rfind(")"), near.rfind("]")):
-        return 0.02, "", "", ""
-    if near.rfind("«") > near.rfind("»") or near.rfind("„") > max(near.rfind("“"), near.rfind("”")) or ("„" not in near and near.rfind("“") > near.rfind("”")):
+    if unclosed(tail):
         return 0.02, "", "", ""
     if aside and re.search(r"[–—-]$", tail):
         return 0.9995, "", "", ""
@@ -176,7 +198,7 @@ def ending(text: str | None) -> tuple[float, str, str, str]:
         return 0.9995, "", "", ""
     if re.search(r"[,;:–—\-/&\ufffd]$", tail):
         return 0.01, "", "", ""
-    last = words(near)[-3:]
+    last = words(tail[-2000:])[-3:]
     last = ["^"] * (3 - len(last)) + last
     return -1.0, *last
 

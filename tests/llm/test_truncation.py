@@ -91,3 +91,20 @@ def test_copies_make_no_limit(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert [r for r in T.limits(df).collect() if r.lo <= len(vote) <= r.hi] == []
     assert T.posteriors(df).where("doc_id >= 1000 and odds > 0").count() == 0
+
+
+def test_limits_of_long_fields_are_found(spark):
+    rng = random.Random(2)
+    body = [min(int(rng.lognormvariate(10.8, 0.9)), 100_000) for _ in range(3000)]
+    assert any(lo <= 100_000 <= hi for lo, hi, _ in T.fit(sorted({n: body.count(n) for n in body}.items())))
+    short = [min(int(rng.lognormvariate(4, 0.7)), 50) for _ in range(3000)]
+    assert any(lo <= 50 <= hi for lo, hi, _ in T.fit(sorted({n: short.count(n) for n in short}.items())))
+    rows = [(i, f"{i} " + "x" * (min(n, 100_000) - len(f"{i} ")), "a") for i, n in enumerate(body[:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.lo, r.hi) for r in T.limits(df).where("unit = 'chars'").collect()]
+    assert got and all(lo <= 100_000 <= hi for lo, hi in got)
+
+
+@pytest.mark.parametrize("text, natural", [("He (who " + "spoke and " * 400 + "went.", 0.02), ("«He " + "spoke and " * 400 + "went.", 0.02), ("It (the (older) one is so.", 0.02), ("„Es ist so“, sagte er. “So” it is.", 0.9995), ("a) It is so. (b) So it is.", 0.9995)])
+def test_open_marks_are_seen_over_the_whole_text(text, natural):
+    assert T.ending(text)[0] == natural
