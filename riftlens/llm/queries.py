@@ -40,6 +40,11 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return files.withColumn("r", secrets.redacted("new_source")).select("file_id", "r.*")
 
 
+def p4_redacted_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every diff line, removed ones included, with its secrets masked."""
+    return secrets.redact_lines(table(spark, d, "diff_lines").select("file_id", "line_seq", "kind", "content"))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
 
@@ -69,7 +74,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_reasons, p4_found, p4_redacted, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p3_found, p3_reasons, p4_found, p4_redacted, p4_redacted_lines, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates, p8_limits)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -242,9 +243,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple
         yield key, rows
 
 
-def scan_lines(rows: list[tuple]) -> set[tuple[int, str]]:
-    """(line_seq, kind of secret) over both sides of the diff lines (line_seq, kind, content), sorted by line_seq."""
-    hits: set[tuple[int, str]] = set()
+def _sides(rows: list[tuple]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(start of each line, its line_seq, its content) of both sides of the diff lines, a line_seq once."""
     sides = [[r for r in rows if r[1] != "del"]]
     if len(sides[0]) < len(rows):
         sides.append([r for r in rows if r[1] != "add"])
@@ -259,10 +259,50 @@ def scan_lines(rows: list[tuple]) -> set[tuple[int, str]]:
             lines.append(content)
             numbers.append(n)
             at += len(content) + 1
+        yield starts, numbers, lines
+
+
+def scan_lines(rows: list[tuple]) -> set[tuple[int, str]]:
+    """(line_seq, kind of secret) over both sides of the diff lines (line_seq, kind, content), sorted by line_seq."""
+    hits: set[tuple[int, str]] = set()
+    for starts, numbers, lines in _sides(rows):
         hits.update((numbers[bisect_right(starts, start) - 1], kind) for start, kind, _ in scan("\n".join(lines)))
     return hits
 
 
+def line_spans(sides: list[tuple[list[int], list[int], list[str]]], mask: str = "REDACTED") -> tuple[dict[int, set[tuple[int, int, str]]], set[tuple[int, int]]]:
+    """line_seq -> (from, to, what stands there instead), and (line_seq, from) of each secret; what both sides have is there once."""
+    spans: dict[int, set[tuple[int, int, str]]] = {}
+    hits: set[tuple[int, int]] = set()
+    for starts, numbers, lines in sides:
+        for start, kind, pieces in scan("\n".join(lines)):
+            first = bisect_right(starts, start) - 1
+            hits.add((numbers[first], start - starts[first]))
+            for i, (s, e) in enumerate(pieces):
+                put = mask if i == 0 or kind == "key" else ""
+                at = bisect_right(starts, s) - 1
+                while at < len(starts) and starts[at] < e:
+                    a, b = max(s - starts[at], 0), min(e - starts[at], len(lines[at]))
+                    if a < b:
+                        spans.setdefault(numbers[at], set()).add((a, b, put))
+                        put = mask if kind == "key" else ""
+                    at += 1
+    return spans, hits
+
+
+def splice(text: str, spans: set[tuple[int, int, str]]) -> str:
+    """The text with its spans replaced; spans that overlap are one."""
+    parts, at, put = [], 0, ""
+    for s, e, p in sorted(spans):
+        if s < at:
+            put = put or p
+        else:
+            parts += [put, text[at:s]]
+            put = p
+        at = max(at, e)
+    return "".join([*parts, put, text[at:]])
+
+
 def find_in_lines(lines: DataFrame) -> DataFrame:
     """file_id, line_seq, kind of secret, over diff lines (file_id, line_seq, kind, content)."""
     own = F.floor(F.col("line_seq") / CHUNK).cast("int")
@@ -283,6 +323,38 @@ def find_in_lines(lines: DataFrame) -> DataFrame:
     return spread.mapInPandas(run, schema).distinct()
 
 
+def redact_lines(lines: DataFrame) -> DataFrame:
+    """file_id, line_seq, kind, redacted, n_secrets (that begin on the line), over diff lines (file_id, line_seq, kind, content).
+
+    A file's lines are read together, so that a value or a key block is masked whole, however many lines it or the other
+    side's lines between take.  A line without line_seq has no place in its file and is masked by itself.
+    """
+    whole = lines.select("file_id", F.lit(0).alias("chunk"), "line_seq", "kind", "content").repartition("file_id").sortWithinPartitions("file_id", "line_seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file_id", "line_seq", "kind", "redacted", "n_secrets"]
+        out: list[tuple] = []
+        for (file_id, _), group in _chunks(batches):
+            rows = list(dict.fromkeys((None if n is None or n != n else int(n), kind, content) for n, kind, content in group))
+            placed = [r for r in rows if r[0] is not None]
+            sides = list(_sides(placed))
+            spans, hits = line_spans(sides)
+            begin = Counter(n for n, _ in hits)
+            read = {n: c for _, numbers, lines in sides for n, c in zip(numbers, lines, strict=True)}
+            for n, kind, content in rows:
+                if content and n is not None and content == read[n]:
+                    out.append((file_id, n, kind, splice(content, spans.get(n, set())), begin[n]))
+                else:
+                    out.append((file_id, n, kind, redact(content), len(scan(content)) if content else 0))
+                if len(out) > 5000:
+                    yield pd.DataFrame(out, columns=columns).astype({"line_seq": "Int32"})
+                    out = []
+        yield pd.DataFrame(out, columns=columns).astype({"line_seq": "Int32"})
+
+    schema = T.StructType([lines.schema["file_id"]]).add("line_seq", "integer").add("kind", "string").add("redacted", "string").add("n_secrets", "integer")
+    return whole.mapInPandas(run, schema)
+
+
 def redacted(text: str | Column) -> Column:
     """struct(redacted, n_secrets) of a text column."""
 

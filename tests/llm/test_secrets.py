@@ -65,3 +65,25 @@ def test_chunks_find_what_the_whole_file_has(spark, monkeypatch):
     monkeypatch.setattr(S, "OVERLAP", 10)
     got = {(r.line_seq,) for r in S.find_in_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == whole and len(got) == 233
+
+
+def test_lines_are_masked_over_lines_and_sides(spark):
+    body = ["MIIEowIBAAKCAQEA7Zk3q0b1rJXvT9/+ab%02d" % (i % 100) for i in range(1100)]
+    key = [KEY.split("\n")[0], *body, KEY.split("\n")[-1]]
+    rows = [
+        ("f", 0, "ctx", "password =", ""), ("f", 1, "del", '  "Dune-Lichen8729";', ""), ("f", 2, "add", '  "Otter-Nettle7333";', ""), ("f", 2, "add", '  "Otter-Nettle7333";', ""), ("f", 3, "ctx", "pw: 3mb3r*7e8Q", ""), ("f", 4, "del", "", ""), ("f", 5, "del", None, ""), ("f", None, "del", "pw: 3mb3r*7e8Q", ""),
+        *(("k", i, "del", line, "") for i, line in enumerate(key)), ("k", len(key), "add", "x = 1", ""),
+    ]
+    got = S.redact_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    f = {r.line_seq: (r.kind, r.redacted, r.n_secrets) for r in got if r.file_id == "f"}
+    assert f == {0: ("ctx", "password =", 0), 1: ("del", '  "REDACTED";', 1), 2: ("add", '  "REDACTED";', 1), 3: ("ctx", "pw: REDACTED", 1), 4: ("del", "", 0), 5: ("del", None, 0), None: ("del", "pw: REDACTED", 1)}
+    k = [r.redacted for r in sorted((r for r in got if r.file_id == "k"), key=lambda r: r.line_seq)]
+    assert k == [key[0], *["REDACTED"] * len(body), key[-1], "x = 1"] and len(got) == len(k) + len(f)
+
+
+def test_masked_lines_are_the_masked_text():
+    text = "\n".join(['db_password = "Quartz_Garnet7353" # ask', KEY, 'String PASSWD = "pJd9eZ0"', '  + "3CjUziBi";', 'x = "mongodb://svc:Indigo_Ember1955@host.example/db"'])
+    rows = [(i, "ctx", line) for i, line in enumerate(text.split("\n"))]
+    spans, hits = S.line_spans(list(S._sides(rows)))
+    assert "\n".join(S.splice(c, spans.get(n, set())) for n, _, c in rows) == S.redact(text) and len(hits) == 4
+    assert S.splice("abcdef", {(1, 3, "X"), (2, 5, "")}) == "aXf"
