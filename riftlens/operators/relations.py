@@ -3,9 +3,9 @@
 Inputs: ``changed`` (card_id, name, owner, path), ``refs`` (card_id, bucket, ident, in_header), ``imports`` (card_id,
 ident).  Output: pairs (a, b, grade) with a < b; a strong pair is not given as a weak one as well.
 
-Members of one owner, and symbols of one file, are all related with each other.  A group of n is given as n - 1 links to
-its smallest member, which joins the same cards without n(n-1)/2 rows; ``all_pairs`` spells the pairs out, for single
-reviews, whose groups are small.
+Members of one owner, and symbols of one file, are all related with each other, n(n-1)/2 pairs for a group of n.  Where only
+components are asked for, ``all_pairs=False`` gives a group as n - 1 links to its smallest member, which joins the same cards;
+the grades of the pairs that are left are the same.
 """
 
 from __future__ import annotations
@@ -44,24 +44,37 @@ def group_pairs(df: DataFrame, group: str) -> DataFrame:
     return m.select(group, F.col("card_id").alias("a")).join(m.select(group, F.col("card_id").alias("b")), group).where("a < b").select("a", "b").distinct()
 
 
-def strong_pairs(changed: DataFrame, refs: DataFrame, all_pairs: bool = False) -> DataFrame:
+def _owned(changed: DataFrame) -> DataFrame:
+    return changed.where(F.col("owner").isNotNull() & (F.col("owner") != "") & ~is_hub(F.col("owner"))).select("card_id", "owner").distinct()
+
+
+def same_owner(found: DataFrame, changed: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends share an owner, without the pairs of each owner being spelled out."""
+    left = _owned(changed).select(F.col("card_id").alias("a"), "owner")
+    right = _owned(changed).select(F.col("card_id").alias("b"), "owner")
+    return found.select("a", "b").join(left, "a").join(right, ["b", "owner"]).select("a", "b").distinct()
+
+
+def strong_pairs(changed: DataFrame, refs: DataFrame, all_pairs: bool = True) -> DataFrame:
     calls = canonical(resolve(refs.where("bucket = 'call' or bucket = 'impl' or (bucket = 'type' and in_header)"), changed), "card_id", "target")
-    owned = changed.where(F.col("owner").isNotNull() & (F.col("owner") != "") & ~is_hub(F.col("owner")))
+    owned = _owned(changed)
     siblings = (group_pairs if all_pairs else group_links)(owned, "owner")
     types = changed.where("owner is null").select(F.col("name").alias("owner"), F.col("card_id").alias("target"))
     members = canonical(owned.select("card_id", "owner").join(types, "owner"), "card_id", "target")
     return calls.unionByName(siblings).unionByName(members).distinct()
 
 
-def weak_pairs(changed: DataFrame, refs: DataFrame, imports: DataFrame, all_pairs: bool = False) -> DataFrame:
+def weak_pairs(changed: DataFrame, refs: DataFrame, imports: DataFrame, all_pairs: bool = True) -> DataFrame:
     imported = canonical(resolve(imports, changed), "card_id", "target")
     inner = canonical(resolve(refs.where("bucket = 'type' and not in_header"), changed), "card_id", "target")
     return imported.unionByName(inner).unionByName((group_pairs if all_pairs else group_links)(changed, "path")).distinct()
 
 
-def pairs(changed: DataFrame, refs: DataFrame, imports: DataFrame, all_pairs: bool = False) -> DataFrame:
+def pairs(changed: DataFrame, refs: DataFrame, imports: DataFrame, all_pairs: bool = True) -> DataFrame:
     strong = strong_pairs(changed, refs, all_pairs)
     weak = weak_pairs(changed, refs, imports, all_pairs).join(strong, ["a", "b"], "left_anti")
+    if not all_pairs:
+        weak = weak.join(same_owner(weak, changed), ["a", "b"], "left_anti")
     return strong.withColumn("grade", F.lit("strong")).unionByName(weak.withColumn("grade", F.lit("weak")))
 
 

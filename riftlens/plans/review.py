@@ -33,19 +33,19 @@ def changed_table(files: DataFrame, lines: DataFrame) -> DataFrame:
     return hit.join(at, "file_id").select("file_id", X.card_id(F.col("path")).alias("card_id"), "sym_idx", "name", "owner", "path", R.is_test_symbol(X.language(F.col("path")), F.col("path"), F.col("name")).alias("is_test"))
 
 
-def relation_pairs(files: DataFrame, lines: DataFrame, changed: DataFrame) -> DataFrame:
-    """Strong and weak pairs of the changed symbols' cards."""
+def relation_pairs(files: DataFrame, lines: DataFrame, changed: DataFrame, all_pairs: bool = True) -> DataFrame:
+    """Strong and weak pairs of the changed symbols' cards; without ``all_pairs``, links that join the same cards."""
     refs = declarations.references(files.where("status = 'Modified' and not is_binary")).join(changed.select("file_id", "sym_idx", "card_id"), ["file_id", "sym_idx"]).select("card_id", "bucket", "ident", "in_header")
     lang = X.language(F.col("new_path"))
     imports = files.select(X.card_id(F.col("new_path")).alias("card_id"), F.explode(X.imported_names(lang, F.col("new_source"))).alias("ident")).join(changed.select("card_id").distinct(), "card_id", "left_semi")
-    return relations.pairs(changed, refs, imports)
+    return relations.pairs(changed, refs, imports, all_pairs)
 
 
 def review(files: DataFrame, lines: DataFrame) -> Review:
     """Everything about one review (or several, whose cards are then told apart by their paths)."""
     lines = cards_ops.distinct_lines(lines)
     changed = checkpointed(changed_table(files, lines))
-    pairs = checkpointed(relation_pairs(files, lines, changed))
-    seeds = components.seeds(changed.select(F.col("card_id").alias("id")), pairs.where("grade = 'strong'"))
+    links = checkpointed(relation_pairs(files, lines, changed, all_pairs=False).where("grade = 'strong'"))
+    seeds = components.seeds(changed.select(F.col("card_id").alias("id")), links)
     members = seeds.withColumnRenamed("id", "card_id").join(changed.groupBy("card_id").agg(F.max_by("name", "sym_idx").alias("name")), "card_id")
-    return Review(cards_ops.cards(files, lines), changed, pairs, seeds, layout.layered(members))
+    return Review(cards_ops.cards(files, lines), changed, relation_pairs(files, lines, changed), seeds, layout.layered(members))

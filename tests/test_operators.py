@@ -113,6 +113,16 @@ def test_relations(spark):
     assert got == [("A", "B", "strong"), ("A", "C", "strong"), ("A", "F", "weak"), ("B", "C", "strong"), ("B", "E", "strong"), ("C", "E", "strong"), ("C", "F", "weak"), ("E", "F", "weak")]
 
 
+def test_siblings_are_strong_pairs_all_of_them(spark):
+    changed = spark.createDataFrame([(c, f"run{c}", "T", f"p{c}") for c in "ABCD"] + [("E", "hop", None, "pE")], "card_id string, name string, owner string, path string")
+    refs = spark.createDataFrame([("B", "type", "runC", False), ("E", "type", "runB", False)], "card_id string, bucket string, ident string, in_header boolean")
+    imports = spark.createDataFrame([("C", "runD")], "card_id string, ident string")
+    got = rows(relations.pairs(changed, refs, imports), "a", "b", "grade")
+    assert got == [("A", "B", "strong"), ("A", "C", "strong"), ("A", "D", "strong"), ("B", "C", "strong"), ("B", "D", "strong"), ("B", "E", "weak"), ("C", "D", "strong")]
+    links = rows(relations.pairs(changed, refs, imports, all_pairs=False), "a", "b", "grade")
+    assert links == [("A", "B", "strong"), ("A", "C", "strong"), ("A", "D", "strong"), ("B", "E", "weak")]
+
+
 def test_group_links_join_what_all_pairs_join(spark):
     df = spark.createDataFrame([(c, g) for c, g in zip("abcdefgh", "xxxxyyz" + "z", strict=True)] + [("i", None), ("j", "")], "card_id string, owner string")
     nodes = df.select(F.col("card_id").alias("id"))
