@@ -333,7 +333,11 @@ PLAIN = {
 _BEGIN = "".join(map(keyword, ("if", "for", "switch", "match", "return", "throw", "try", "let", "const", "var", "val", "loop", "break", "continue")))
 _BLOCKS = "[\uf400-\uf5ff]"
 _PIECES = {lang: re.compile(f"(?<=N)|(?<={_BLOCKS})(?=[{_BEGIN}])" if lang == "kt" else f"(?<=[;N])|(?<={_BLOCKS})(?=[{_BEGIN}])") for lang in PLAIN}
-_REPEATED = re.compile(r"([^,;N]{1,60}[,;N])\1{2,}")
+#: Equal list items, and equal statements from the start of a statement on: a run of them stands or falls with two of them.
+#: Headers have a fixed number of clauses, so ``;`` is left alone in windows that are no blocks, and after the first clause of a
+#: header without brackets.
+_REPEATED_ITEMS = re.compile(r"([^,;N]{1,60},)\1{2,}")
+_REPEATED = re.compile(r"([^,;N]{1,60},)\1{2,}|(?<![^;N])([^,;N]{1,60}[;N])\2{2,}")
 
 GRAMMARS = {"json": JSON, "go": GO, "java": JAVA, "rs": RUST, "kt": KOTLIN, "js": JS, "ts": TS, "py": PY}
 
@@ -445,7 +449,7 @@ class Grammar:
                 content = re.sub(INDENTS, "", content)
             elif kind != "C":
                 content = content.replace("N", "")
-            content = _REPEATED.sub(r"\1\1", content)
+            content = _REPEATED.sub(r"\1\1\2\2", content) if kind == "C" else _REPEATED_ITEMS.sub(r"\1\1", content)
             bare = self.without_plain(content) if kind == "C" and self.lang in PLAIN else content
             plain = PLAIN[self.lang][1] if kind == "C" and self.lang in PLAIN else ()
             mask = sum(1 << i for i, role in enumerate(self.roles[kind]) if self.fits((kind, role), bare if role in plain else content))
@@ -468,7 +472,7 @@ class Grammar:
             kinds = reduced
         if any(c in kinds for c in "()[]{}"):
             return False
-        return self.python(kinds) if self.lang == "py" else self.fits(("", "top"), _REPEATED.sub(r"\1\1", kinds))
+        return self.python(kinds) if self.lang == "py" else self.fits(("", "top"), _REPEATED.sub(r"\1\1\2\2", kinds))
 
     def python(self, kinds: str) -> bool:
         """Logical lines against the statement productions, and their indentation against the blocks that they open."""

@@ -90,3 +90,9 @@ def test_lexer_splits_whole_text():
     for lang, texts in (GOOD | {"rs": [*GOOD["rs"], "\x00\ufffd'"]}).items():
         for t in texts:
             assert "".join(lexing.tokens(lang, t)) == t
+
+
+@pytest.mark.parametrize("lang, text", [("js", "for (a; b; c%s) { d(); }"), ("ts", "for (a; b; c%s) { d(); }"), ("java", "class A { void f() { for (g(); g(); g()%s) { d(); } } }"), ("go", "package a\n\nfunc f() {\n\tfor g(); g(); g()%s {\n\t\td()\n\t}\n}\n")])
+def test_headers_have_a_fixed_number_of_clauses(lang, text):
+    assert syntax.parses(lang, text % "")
+    assert not any(syntax.parses(lang, text % more) for more in (";", "; a;", "; a; a;"))
