@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WRAPPERS = ("structured_output", "structuredOutput", "result", "layout")
-#: Nesting beyond this many levels counts as damaged.
-MAX_DEPTH = 200
 
 _FENCE = re.compile(r"\A\s*```[A-Za-z]*[ \t]*\r?\n(.*?)\r?\n?```\s*\Z", re.S)
 _SNAKE = re.compile(r"(?<=[A-Za-z0-9])_+([A-Za-z0-9])")
@@ -67,8 +65,6 @@ def label(root, list_keys: frozenset[str], map_keys: frozenset[str], keep_keys:
     stack = [("0", 0, "", None, root, False)]
     while stack:
         dewey, ordinal, path, key, node, raw = stack.pop()
-        if dewey.count(".") > MAX_DEPTH:
-            continue
         if isinstance(node, dict):
             fields = {} if key is None else {"@key": key}
             inner = []

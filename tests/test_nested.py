@@ -87,3 +87,11 @@ def test_labels_are_unique_and_their_parents_exist(record):
         while "." in up and up.rsplit(".", 1)[0] not in known:
             up = up.rsplit(".", 1)[0]
         assert dewey == "0" or "." in up
+
+
+def test_deep_records_keep_their_lower_part():
+    root = {"x": "end"}
+    for _ in range(700):
+        root = {"a": root}
+    got = list(N.label(root, frozenset(), frozenset(), frozenset()))
+    assert len(got) == 701 and got[-1][4] == {"x": "end"}
