@@ -21,10 +21,14 @@ import regex
 from riftlens.llm.lexing import INDENT, INDENTS, KEYWORDS, keyword
 
 BASE = {"P": 0xF000, "K": 0xF200, "C": 0xF400}
+#: How many symbols of each kind there may be: two to the number of its roles.
+SYMBOLS = {"P": 0x200, "K": 0x200, "C": 0x400}
 OPEN = {"P": "(", "K": "[", "C": "{"}
 CLOSE = {"P": ")", "K": "]", "C": "}"}
 KIND = {"(": "P", "[": "K", "{": "C"}
 FAILED = chr(0xF7FF)
+#: The ends of a window, where its pairs of classes are looked at.
+BEGIN, END = "\x02", "\x03"
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 
 ANY = r"[\s\S]*"
@@ -331,7 +335,7 @@ PLAIN = {
 }
 #: Words that begin a statement after a block; ``else``, ``catch``, ``while`` and the like go on with the one before.
 _BEGIN = "".join(map(keyword, ("if", "for", "switch", "match", "return", "throw", "try", "let", "const", "var", "val", "loop", "break", "continue")))
-_BLOCKS = "[\uf400-\uf5ff]"
+_BLOCKS = f"[{chr(BASE['C'])}-{chr(BASE['C'] + SYMBOLS['C'] - 1)}]"
 _PIECES = {lang: re.compile(f"(?<=N)|(?<={_BLOCKS})(?=[{_BEGIN}])" if lang == "kt" else f"(?<=[;N])|(?<={_BLOCKS})(?=[{_BEGIN}])") for lang in PLAIN}
 #: Equal list items, and equal statements from the start of a statement on: a run of them stands or falls with two of them.
 #: Headers have a fixed number of clauses, so ``;`` is left alone in windows that are no blocks, and after the first clause of a
@@ -371,6 +375,15 @@ class Grammar:
         self.known: dict[str, bool] = {}
         self.memo: dict[str, str] = {}
         self.lines: dict[str, int] = {}
+        # what a window of each role can show at most: a window with another pair of classes is not matched at all
+        flat = Adjacency(self, {k: (chr(b), chr(b)) for k, b in BASE.items()})
+        self.flat = {start: None if template == ANY else flat.within(start) for start, template in self.starts.items()}
+
+    @staticmethod
+    def shape(text: str) -> set[tuple[str, str]]:
+        """The pairs of a flat window, reduced windows by their kind."""
+        text = text.translate(_KINDS)
+        return set(zip(BEGIN + text, text + END, strict=True))
 
     def fits(self, start: tuple[str, str], text: str) -> bool:
         key = self.marker[start] + text
@@ -388,7 +401,7 @@ class Grammar:
             if not piece:
                 continue
             if hanging or piece in ";N" or not self.fits(("", "plain"), piece):
-                if not hanging and piece[0] in _CONTROL and "\uf400" <= piece[-1] <= "\uf5ff":
+                if not hanging and piece[0] in _CONTROL and _CURLY.match(piece[-1]):
                     if piece in controls:
                         continue
                     controls.add(piece)
@@ -450,17 +463,22 @@ class Grammar:
             elif kind != "C":
                 content = content.replace("N", "")
             content = _REPEATED.sub(r"\1\1\2\2", content) if kind == "C" else _REPEATED_ITEMS.sub(r"\1\1", content)
-            bare = self.without_plain(content) if kind == "C" and self.lang in PLAIN else content
             plain = PLAIN[self.lang][1] if kind == "C" and self.lang in PLAIN else ()
-            mask = sum(1 << i for i, role in enumerate(self.roles[kind]) if self.fits((kind, role), bare if role in plain else content))
+            bare = self.without_plain(content) if plain else content
+            shown = {False: self.shape(content)}
+            shown[True] = shown[False] if bare == content else self.shape(bare)
+            mask = 0
+            for i, role in enumerate(self.roles[kind]):
+                start, without = (kind, role), role in plain
+                if (self.flat[start] is None or shown[without] <= self.flat[start]) and self.fits(start, bare if without else content):
+                    mask |= 1 << i
             if len(self.memo) > 100_000:
                 self.memo.clear()
             symbol = self.memo[window] = chr(BASE[kind] + mask) if mask else FAILED
         return symbol
 
     def accepts(self, kinds: str) -> bool:
-        """Whether a class string is a whole file of the language."""
-        kinds = terminate(self.lang, kinds)
+        """Whether a class string with its statement ends (:func:`terminate`) is a whole file of the language."""
         if "E" in kinds:
             return False
         while True:
@@ -506,10 +524,12 @@ class Grammar:
         return not opened
 
 
+#: Reduced windows to the first symbol of their kind.
+_KINDS = {b + m: chr(b) for k, b in BASE.items() for m in range(SYMBOLS[k])}
 _HEADERS = frozenset(map(keyword, ("if", "else", "for", "while", "do", "with")))
 _CONTROL = frozenset(map(keyword, ("if", "for", "switch", "match", "try", "loop")))
 _GO_HEADERS = frozenset(map(keyword, ("if", "for", "switch", "select", "else")))
-_CURLY = re.compile(f"[{chr(BASE['C'])}-{chr(BASE['C'] + 0x1FF)}]")
+_CURLY = re.compile(_BLOCKS)
 _GO_END = "insU)\\]}" + "".join(map(keyword, ("break", "continue", "fallthrough", "return")))
 _ELSE = "".join(map(keyword, ("else", "catch", "finally")))
 _KT_END = "insUQ)\\]}m?>" + "".join(map(keyword, ("break", "continue", "return", "this", "super", "null", "true", "false")))
@@ -547,55 +567,76 @@ def grammar(lang: str) -> Grammar:
     return Grammar(lang)
 
 
-@lru_cache(maxsize=None)
-def permissible(lang: str) -> frozenset[str]:
-    """Ordered pairs of token classes that some production lets stand next to each other."""
-    from re import _constants as C
-    from re import _parser as P
-
-    g = grammar(lang)
-    pairs: set[tuple[str, str]] = set()
-    back = {chr(BASE[k] + m): k for k, v in g.roles.items() for m in range(1 << len(v))}
+class Adjacency:
+    """Which token classes may follow each other inside each macro and start of a grammar, without the macros below it.
 
-    everything = sorted(set("insNUPAWRFDTQBLYO!*&<>|=?.@#$,:;m()[]{}") | set(map(keyword, g.words)) - {"E"})
+    ``ends`` gives the first and the last class of a reduced window of each bracket kind.
+    """
 
-    known: dict[str, tuple[bool, frozenset, frozenset]] = {}
-    done: set[str] = set()
-    names: dict[str, str] = {}
+    def __init__(self, g: Grammar, ends: dict[str, tuple[str, str]]):
+        from re import _parser as parser
 
-    def places() -> set:
-        return {(C.LITERAL, ord(c)) for c in names.values()}
+        self.g, self.ends, self.names, self.trees = g, ends, {}, {}
+        self.everything = frozenset("insNUPAWRFDTQBLYO!*&<>|=?.@#$,:;m()[]{}") | set(map(keyword, g.words))
 
-    def of(template: str) -> tuple[bool, frozenset, frozenset]:
-        return walk(P.parse(g.expand(template, lambda n: names.setdefault(n, chr(0xFB00 + len(names))))))
+        def tree(template: str):
+            return parser.parse(g.expand(template, lambda n: self.names.setdefault(n, chr(0xFB00 + len(self.names)))))
 
-    def macro(name: str) -> tuple[bool, frozenset, frozenset]:
+        todo = list(g.starts)
+        while todo:
+            name = todo.pop()
+            if name not in self.trees and "." not in name:
+                template = g.starts[name] if isinstance(name, tuple) else g.spec[name]
+                self.trees[name] = tree(template)
+                todo += g.uses(template)
+        self.macro = {c: n for n, c in self.names.items()}
+        nothing = (False, frozenset(), frozenset())
+        self.known = {name: nothing for name in self.trees}
+        self.pairs: dict[object, set[tuple[str, str]]] = {}
+        before = None
         # macros may hold each other: what an earlier pass found stands in, and passes go on until nothing is new
-        if name not in done:
-            done.add(name)
-            kind, _, role = name.partition(".")
-            known[name] = (False, frozenset(OPEN[kind]), frozenset(CLOSE[kind])) if role else of(g.spec[name])
-        return known.get(name, (False, frozenset(), frozenset()))
+        while before != self.known:
+            before = dict(self.known)
+            for name, t in self.trees.items():
+                self.pairs[name] = set()
+                self.known[name] = self.walk(t, self.pairs[name])
+        for start in g.starts:
+            empty, first, last = self.known[start]
+            self.pairs[start] |= {(BEGIN, c) for c in first} | {(c, END) for c in last} | ({(BEGIN, END)} if empty else set())
+
+    def of(self, name: str) -> tuple[bool, frozenset, frozenset]:
+        kind, _, role = name.partition(".")
+        if role:
+            first, last = self.ends[kind]
+            return False, frozenset(first), frozenset(last)
+        return self.known[name]
+
+    def walk(self, tree, pairs: set) -> tuple[bool, frozenset, frozenset]:
+        """(may be empty, first classes, last classes) of a parsed production; its pairs go into ``pairs``."""
+        from re import _constants as C
 
-    def walk(tree) -> tuple[bool, frozenset, frozenset]:
         empty, first, last = True, frozenset(), frozenset()
         for op, arg in tree:
-            if op is C.LITERAL and (name := next((n for n, c in names.items() if c == chr(arg)), None)):
-                e, f, la = macro(name)
+            if op is C.LITERAL and chr(arg) in self.macro:
+                e, f, la = self.of(self.macro[chr(arg)])
             elif op is C.LITERAL:
                 e, f, la = False, frozenset(chr(arg)), frozenset(chr(arg))
             elif op is C.IN:
-                parts = [macro(n) for n, c in list(names.items()) if (C.LITERAL, ord(c)) in arg]
-                chars = frozenset(c for o, a in arg if (o, a) not in places() for c in ([chr(a)] if o is C.LITERAL else map(chr, range(a[0], a[1] + 1)) if o is C.RANGE else everything))
-                chars = frozenset(OPEN[back[c]] if c in back else c for c in chars), frozenset(CLOSE[back[c]] if c in back else c for c in chars)
-                e, f, la = any(x[0] for x in parts), chars[0].union(*(x[1] for x in parts)), chars[1].union(*(x[2] for x in parts))
+                parts = [self.of(self.macro[chr(a)]) for o, a in arg if o is C.LITERAL and chr(a) in self.macro]
+                chars: set[str] = set()
+                for o, a in arg:
+                    if o is C.LITERAL:
+                        chars |= set() if chr(a) in self.macro else {chr(a)}
+                    else:
+                        chars |= set(map(chr, range(a[0], a[1] + 1))) if o is C.RANGE else self.everything
+                e, f, la = any(x[0] for x in parts), frozenset(chars).union(*(x[1] for x in parts)), frozenset(chars).union(*(x[2] for x in parts))
             elif op is C.BRANCH:
-                parts = [walk(x) for x in arg[1]]
+                parts = [self.walk(x, pairs) for x in arg[1]]
                 e, f, la = any(x[0] for x in parts), frozenset().union(*(x[1] for x in parts)), frozenset().union(*(x[2] for x in parts))
             elif op is C.SUBPATTERN:
-                e, f, la = walk(arg[3])
+                e, f, la = self.walk(arg[3], pairs)
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-                e, f, la = walk(arg[2])
+                e, f, la = self.walk(arg[2], pairs)
                 if arg[1] > 1:
                     pairs.update((a, b) for a in la for b in f)
                 e = e or arg[0] == 0
@@ -609,15 +650,27 @@ def permissible(lang: str) -> frozenset[str]:
             empty = empty and e
         return empty, first, last
 
-    before = None
-    while before != (len(pairs), known):
-        before = len(pairs), dict(known)
-        done.clear()
-        for (kind, _), template in g.starts.items():
-            e, f, la = of(template)
-            if kind:
-                pairs.update((OPEN[kind], b) for b in f)
-                pairs.update((a, CLOSE[kind]) for a in la)
-                if e:
-                    pairs.add((OPEN[kind], CLOSE[kind]))
-    return frozenset(a + b for a, b in pairs)
+    def within(self, start: tuple[str, str]) -> frozenset[tuple[str, str]]:
+        """All pairs that a window of this start can show, those of the macros in it included."""
+        out, seen, todo = set(), set(), [start]
+        while todo:
+            name = todo.pop()
+            if name not in seen and "." not in name:
+                seen.add(name)
+                out |= self.pairs[name]
+                todo += self.g.uses(self.g.starts[name] if isinstance(name, tuple) else self.g.spec[name])
+        return frozenset(out)
+
+
+@lru_cache(maxsize=None)
+def permissible(lang: str) -> frozenset[str]:
+    """Ordered pairs of token classes that some production lets stand next to each other."""
+    g = grammar(lang)
+    a = Adjacency(g, {k: (OPEN[k], CLOSE[k]) for k in OPEN})
+    pairs = {p for x in a.pairs.values() for p in x if p[0] != BEGIN and p[1] != END}
+    for start in g.starts:
+        if start[0]:
+            empty, first, last = a.known[start]
+            begin, end = OPEN[start[0]], CLOSE[start[0]]
+            pairs |= {(begin, c) for c in first} | {(c, end) for c in last} | ({(begin, end)} if empty else set())
+    return frozenset(x + y for x, y in pairs)

@@ -1,12 +1,13 @@
 """Source files that do not parse in the language that their extension names.
 
-A file is lexed into rows of adjacent token classes, (file, language, pair), each pair once.  The rows are anti-joined
-with the pairs that the language's productions let stand together; what is left over is a pair that no valid file has.
-Then windows are reduced: bracketed windows innermost first, each against the productions that it may have, until the
-whole file is one window that must be a file of the language (see :mod:`riftlens.llm.grammar`).
+Each file is lexed once, into a row with its string of token classes and its distinct adjacent pairs.  The pairs that occur
+anywhere are anti-joined with those that the productions of the language let stand together; what is left over is a pair
+that no valid file has, and a file that shows one is broken.  The windows of all other files are reduced: bracketed windows
+innermost first, each against the productions that it may have, until the whole file is one window that must be a file of
+the language (see :mod:`riftlens.llm.grammar`).
 
-The windows are those of one file and are reduced where the file lies, in memory and without a shuffle of its tokens: a
-token table sorted over the cluster would move some thirty bytes for each token, many times the source itself.
+The windows are those of one file and are reduced where its row lies: only the distinct pairs, at most the square of the
+number of token classes for each language, move between tasks.  A worker matches each distinct window once.
 
 Defined results
 * null, empty and binary sources, and files without one of the known extensions, give no rows; equal rows count once;
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riftlens.llm import grammar, lexing
+from riftlens.session import checkpointed
 
 _LINE_END = re.compile(f"N|{lexing.INDENTS}")
 
@@ -38,8 +40,7 @@ def class_string(lang: str, text: str) -> str:
 
 
 def adjacent(lang: str, kinds: str) -> list[int]:
-    """The distinct adjacent pairs of a class string as numbers; line ends are no tokens."""
-    kinds = grammar.terminate(lang, kinds)
+    """The distinct adjacent pairs of a class string (with its statement ends) as numbers; line ends are no tokens."""
     pairs = {a + b for a, b in zip(kinds, kinds[1:], strict=False)}
     if lang != "go":
         pairs = {p for p in pairs if not _LINE_END.search(p)}
@@ -47,7 +48,7 @@ def adjacent(lang: str, kinds: str) -> list[int]:
 
 
 def parses(lang: str, text: str) -> bool:
-    kinds = class_string(lang, text)
+    kinds = grammar.terminate(lang, class_string(lang, text))
     allowed = grammar.permissible(lang)
     return all(chr(p >> 16) + chr(p & 0xFFFF) in allowed for p in adjacent(lang, kinds)) and grammar.grammar(lang).accepts(kinds)
 
@@ -60,33 +61,40 @@ def sources(files: DataFrame) -> DataFrame:
     return held.where(F.col("lang").isin(*lexing.LANGUAGES)).select("file_id", "repo_path", "lang", "new_source")
 
 
-def broken(files: DataFrame) -> DataFrame:
-    """file_id of each file that is a syntax error."""
+def judged(files: DataFrame) -> DataFrame:
+    """file_id, repo_path, lang, broken_by of each stored row that is to be tested: pair, window, or null where it parses."""
     spark = files.sparkSession
-    held = sources(files)
-    id_field = files.schema["file_id"]
+    named = [files.schema["file_id"], files.schema["repo_path"], T.StructField("lang", T.StringType())]
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, lang, adjacent(lang, class_string(lang, t))) for f, lang, t in batch.itertuples(index=False, name=None)]
-            yield pd.DataFrame(rows, columns=["file_id", "lang", "pairs"])
+            kinds = [grammar.terminate(lang, class_string(lang, t)) for lang, t in zip(batch["lang"], batch["new_source"], strict=True)]
+            pairs = [adjacent(lang, k) for lang, k in zip(batch["lang"], kinds, strict=True)]
+            yield batch[["file_id", "repo_path", "lang"]].assign(kinds=kinds, pairs=pairs)
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bad = [f for f, lang, t in batch.itertuples(index=False, name=None) if not grammar.grammar(lang).accepts(class_string(lang, t))]
-            yield pd.DataFrame({"file_id": pd.Series(bad, dtype="object")})
+            by = ["pair" if foreign else None if grammar.grammar(lang).accepts(k) else "window" for lang, k, foreign in zip(batch["lang"], batch["kinds"], batch["foreign"], strict=True)]
+            yield batch[["file_id", "repo_path", "lang"]].assign(broken_by=pd.Series(by, dtype="object", index=batch.index))
+
+    lexed = sources(files).mapInPandas(lex, T.StructType([*named]).add("kinds", "string").add("pairs", T.ArrayType(T.IntegerType())))
+    lexed = checkpointed(lexed)
+    permitted = spark.createDataFrame([(lang, ord(p[0]) << 16 | ord(p[1])) for lang in lexing.LANGUAGES for p in sorted(grammar.permissible(lang))], "lang string, pair int")
+    shown = lexed.select("lang", F.explode("pairs").alias("pair")).distinct()
+    # both sides of this join and what is left are bounded by the square of the number of token classes, whatever the files
+    foreign = shown.join(F.broadcast(permitted), ["lang", "pair"], "left_anti").groupBy("lang").agg(F.collect_list("pair").alias("never"))
+    marked = lexed.join(F.broadcast(foreign), "lang", "left").withColumn("foreign", F.coalesce(F.arrays_overlap("pairs", "never"), F.lit(False)))
+    rows = marked.select("file_id", "repo_path", "lang", F.when(~F.col("foreign"), F.col("kinds")).alias("kinds"), "foreign")
+    return rows.mapInPandas(reduce, T.StructType([*named]).add("broken_by", "string"))
 
-    texts = held.select("file_id", "lang", "new_source")
-    rows = texts.mapInPandas(pairs, T.StructType([id_field]).add("lang", "string").add("pairs", T.ArrayType(T.IntegerType()))).select("file_id", "lang", F.explode("pairs").alias("pair"))
-    # at most the square of the number of token classes for each language, whatever the files
-    allowed = spark.createDataFrame([(lang, ord(p[0]) << 16 | ord(p[1])) for lang in lexing.LANGUAGES for p in sorted(grammar.permissible(lang))], "lang string, pair int")
-    foreign = rows.join(F.broadcast(allowed), ["lang", "pair"], "left_anti").select("file_id")
-    return foreign.unionByName(texts.mapInPandas(reduce, T.StructType([id_field]))).distinct()
+
+def broken(files: DataFrame) -> DataFrame:
+    """file_id of each file that is a syntax error."""
+    return judged(files).where("broken_by is not null").select("file_id").distinct()
 
 
 def broken_rates(files: DataFrame) -> DataFrame:
-    """Per repository and language: files, broken files, their share."""
-    every = sources(files).select("file_id", "repo_path", "lang").distinct()
-    marked = every.join(broken(files).withColumn("bad", F.lit(1)), "file_id", "left")
-    out = marked.groupBy("repo_path", "lang").agg(F.count(F.lit(1)).alias("files"), F.count("bad").alias("broken"))
+    """Per repository and language: files, broken files, how many of these by a pair of tokens, and the share of broken files."""
+    each = judged(files).groupBy("repo_path", "lang", "file_id").agg(F.count("broken_by").alias("bad"), F.count_if(F.col("broken_by") == "pair").alias("pair"))
+    out = each.groupBy("repo_path", "lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("bad") > 0).alias("broken"), F.count_if(F.col("pair") > 0).alias("broken_by_pair"))
     return out.withColumn("rate", F.col("broken") / F.col("files"))
