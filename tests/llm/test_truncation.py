@@ -65,14 +65,57 @@ def test_limits_are_found():
 
 
 @pytest.mark.parametrize(
-    "text, natural",
+    "text, kind",
     [
-        (None, 1.0), ("", 1.0), ("  \n", 1.0), ("It is so.", 0.9995), ("Is it so?", 0.9995), ("He said “so.”", 0.9995), ("So it goes. (Laughter)\n[Noise]", 0.9995), ("The end –\n(The Chair withdraws the floor.)", 0.9995), ("(Laughter)", 1.0),
-        ("It is so, and", -1.0), ("It is so,", 0.01), ("It goes on …", 0.01), ("It goes [...]", 0.01), ("It goes (more)", 0.01), ("It is (Laugh", 0.02), ("He said “so", 0.02), ("the Regieru-", 0.01), ("muss es erkl\ufffd", 0.01),
+        (None, "blank"), ("", "blank"), ("  \n", "blank"), ("It is so.", "stop"), ("Is it so?", "stop"), ("He said “so.”", "stop"), ("Il dit « oui. »", "stop"), ("So it goes. (Laughter)\n[Noise]", "stop"), ("So it goes. (" + "Noise " * 1000 + ")", "stop"),
+        ("The end –\n(The Chair withdraws the floor.)", "break"), ("(Laughter)", "blank"), ("It is so, and", "words"), ("It is so,", "stump"), ("It goes on …", "mark"), ("It goes [...]", "mark"), ("It goes [ " + " " * 90 + "... ]", "mark"), ("It goes (more)", "mark"),
+        ("It is (Laugh", "open"), ("He said “so", "open"), ("the Regieru-", "stump"), ("muss es erkl\ufffd", "stump"),
     ],
 )
-def test_endings(text, natural):
-    assert T.ending(text)[0] == natural
+def test_endings(text, kind):
+    assert T.ending(text)[0] == kind
+
+
+def test_words():
+    assert T.words("On 12 May Dr. Ada Lovelace, Chair, spoke (Hear, hear)".split()) == ["X", "9", "X,", "spoke", "(X,", "hear)"]
+    assert T.ending("Motion put by Deputy " + "Rosmer " * 100 + "is")[1:] == ("by", "X", "is")
+
+
+def test_long_tokens_are_words_in_pieces():
+    assert T.words(["a", "b" * 100, "c"]) == ["a", "b" * 48, "b" * 48, "bbbb", "c"]
+    assert T.ending("a " + "b" * 100)[1:] == ("b" * 48, "b" * 48, "bbbb")
+
+
+def test_likelihoods_come_from_the_documents():
+    # a hundred texts at a strong limit, a few of them with a full stop; many whole texts away from limits
+    rows = [("stop", 1000.0, 3.0, 0.0), ("words", 1000.0, 80.0, 80.0), ("open", 1000.0, 17.0, 0.0), ("stop", 0.0, 5000.0, 0.0), ("mark", 0.0, 1.0, 0.0)]
+    whole, cut, anywhere = T.likelihoods(rows, 0.02)
+    assert cut["stop"] == 0.02 and 0.1 < cut["open"] < 0.25 and whole["stop"] > 0.99 and anywhere < 0.01
+    assert T.likelihoods([], 0.02)[0]["stop"] > 0.8
+    ends = [("stop", 3.0, 0.0), ("words", 80.0, 80.0), ("open", 17.0, 0.0)]
+    odds, marked = T.at_limit(ends, 1000.0, whole, cut)
+    assert odds * 0.02 * (1 - marked) / whole["stop"] > 1
+    # a source that marks its excerpts, and a window of lengths that is no limit
+    odds, marked = T.at_limit([("stop", 3.0, 0.0), ("mark", 97.0, 0.0)], 1000.0, whole, cut)
+    assert odds * 0.02 * (1 - marked) / whole["stop"] < 0.2
+    odds, marked = T.at_limit([("stop", 60.0, 0.0), ("words", 40.0, 40.0)], 1000.0, whole, cut)
+    assert odds < 2
+
+
+def test_an_ordinary_ending_at_a_strong_limit_is_a_cut(spark):
+    # sentences of one length: every seventh cut at the limit falls on the end of a sentence
+    rng = random.Random(7)
+    rows, at = [], set()
+    for i in range(1500):
+        t = " ".join(f"{rng.choice(['We', 'You'])} {'v' * rng.randrange(1, 6)} it {rng.randrange(10**6, 10**7)}." for _ in range(max(1, int(rng.lognormvariate(2.2, 0.7)))))
+        if len(t) > 250:
+            t = t[:250]
+            at.add(i)
+        rows.append((i, t, "a"))
+    got = {r.doc_id: r.posterior for r in T.posteriors(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    stops = [i for i in at if rows[i][1].endswith(".")]
+    assert stops and all(got[i] > 0.5 for i in stops)
+    assert sum(p > 0.5 for i, p in got.items() if i not in at and len(rows[i][1]) != 250) == 0
 
 
 def test_edges(spark):
@@ -105,6 +148,6 @@ def test_limits_of_long_fields_are_found(spark):
     assert got and all(lo <= 100_000 <= hi for lo, hi in got)
 
 
-@pytest.mark.parametrize("text, natural", [("He (who " + "spoke and " * 400 + "went.", 0.02), ("«He " + "spoke and " * 400 + "went.", 0.02), ("It (the (older) one is so.", 0.02), ("„Es ist so“, sagte er. “So” it is.", 0.9995), ("a) It is so. (b) So it is.", 0.9995)])
-def test_open_marks_are_seen_over_the_whole_text(text, natural):
-    assert T.ending(text)[0] == natural
+@pytest.mark.parametrize("text, kind", [("He (who " + "spoke and " * 400 + "went.", "open"), ("«He " + "spoke and " * 400 + "went.", "open"), ("It (the (older) one is so.", "open"), ("„Es ist so“, sagte er. “So” it is.", "stop"), ("a) It is so. (b) So it is.", "stop")])
+def test_open_marks_are_seen_over_the_whole_text(text, kind):
+    assert T.ending(text)[0] == kind
