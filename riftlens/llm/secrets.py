@@ -1,9 +1,10 @@
 """Credentials in source code and configuration: finding their places and masking them.
 
-One deterministic (Aho-Corasick) automaton holds the anchors of all grammars: names that hold secrets, key armor, the
-colon-slash-slash of connection strings, fixed token formats, authentication schemes and calls.  It reads each text once;
-at an anchor the grammar of its kind is matched in place.  What the grammar finds is a literal only where its value could
-be a working secret (:func:`secretlike`).
+A dictionary automaton (Aho-Corasick) reads each text once and stops at what may begin a secret.  Token formats, key armor
+and connection strings are one deterministic automaton of their grammars (:mod:`riftlens.llm.automata`), which is led on from
+there to the end of the secret, however long it is.  Names that hold secrets, authentication schemes and calls say what the
+literal after them is for; their short grammars are matched in place.  What is found is a secret only where its value could be
+a working one (:func:`secretlike`).
 
 Lines of a diff are scanned in overlapping chunks of a file's lines, each side of the diff for itself, so that a name and
 its value may stand on different lines and no task holds a large file.  Places are absolute (file, line), so what two
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from riftlens.llm.automata import Automaton
+
 CHUNK, OVERLAP = 1024, 96
 
 #: Words that end the name of a value that is a secret.
@@ -61,21 +64,22 @@ _ASSIGN = re.compile(r"""["'`\]]{0,2}[ \t]*(?:\?)?(?::[ \t]*&?(?:'static[ \t]+)?
 _BARE = re.compile(r"""["'`\]]{0,2}[ \t]*(?:=|:)[ \t]*([^\s"'`,;(){}<>$\[\]]{6,})(?=[ \t]*(?:\r?$|["']))""", re.M)
 _PAIR_CALL = re.compile(rf"\s*{_STRING}\s*,\s*(?={_STRING})")
 _KEYED_CALL = re.compile(rf"""["']\s*,\s*(?={_STRING})""")
-_KEY_STRING = re.compile(r"""["'][\w.\- ]{0,40}$""")
 _NAMED = re.compile(r"""[ \t]+(?:is[ \t]+|was[ \t]+)?([`'"])([^`'"\s]{10,})\1""")
 _FLAG = re.compile(r"""(?:=|[ \t]+)(['"]?)([^\s'"`]{6,})\1(?=\s|$)""")
 _ENV = re.compile(r"=([^\s\"'`$<>(){};,]{6,})(?=[ \t])")
 _USER = re.compile(r"""[ \t=]*[\w.@-]+:(['"]?)([^\s'"`$<>]{4,})\1(?=\s|$|['"])""")
 _SCHEME_VALUE = re.compile(r"[ ]*([A-Za-z0-9+/=._~\-]{14,})")
-_URL = re.compile(r"""://[^\s/:@"'`<>{}$]*:([^\s@"'`/{}]+)@(?=[\w.\[\-])""")
 _SQL = re.compile(r"(?i)\s+(?:=\s*)?'([^'\n]+)'")
-_ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"""(?:\\[nr]|[\s"'`+,\\]|(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*|^[+\- ]|//|\#)*([A-Za-z0-9+/=]{20,})""")
 _RUN = re.compile(r"[A-Za-z0-9+/=]{12,}")
-_FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\b|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}|gh[pos]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{18,}|xox[bp]-[\w-]{20,}|npm_[A-Za-z0-9]{30,}|AIza[\w-]{35}")
-_VENDOR = re.compile(r"\b[a-z]{2,6}(?:_live_|-pat-)[A-Za-z0-9]{14,}")
-_BEFORE_NOUN = re.compile(r"""([^\s"'`()]{10,}) \((?:[a-z]+ )?$""")
+#: The grammars of secrets that show what they are, whatever stands around them.
+GRAMMARS = {
+    "cloud": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    "token": r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}|gh[pos]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{18,}|xox[bp]-[\w-]{20,}|npm_[A-Za-z0-9]{30,}|AIza[\w-]{35}|[a-z]{2,6}(?:_live_|-pat-)[A-Za-z0-9]{14,}",
+    "armor": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
+    "url": r"""://[^\s/:@"'`<>{}$]*:[^\s@"'`/{}]+@""",
+}
 _LOGIN_PROSE = re.compile(r"(?i)\s*(?:is|as)\s+`?[\w.@-]+`?\s+(?:with|and|/)\s+`?([^\s`,;]+?)`?[.,;]?(?=\s|$)")
 
 
@@ -102,6 +106,45 @@ def automaton():
     return a
 
 
+@lru_cache(maxsize=1)
+def grammars() -> Automaton:
+    return Automaton(GRAMMARS)
+
+
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _value_before(text: str, noun: int) -> tuple[int, int] | None:
+    """The span of the value in ``value (noun)`` and ``value (the noun)``, the noun at ``noun``."""
+    at = noun
+    if text[at - 1 : at] == " ":
+        at -= 1
+        while at and text[at - 1].isascii() and text[at - 1].islower():
+            at -= 1
+    if at < 2 or text[at - 2 : at] != " (":
+        return None
+    end = start = at - 2
+    while start and not text[start - 1].isspace() and text[start - 1] not in "\"'`()":
+        start -= 1
+    return (start, end) if end - start >= 10 else None
+
+
+def _quoted_name(text: str, at: int) -> bool:
+    """Whether what stands before ``at`` is the beginning of a quoted name."""
+    while at and (_word(text[at - 1]) or text[at - 1] in ".- "):
+        at -= 1
+    return text[at - 1 : at] in ("'", '"')
+
+
+def _flagged(text: str, at: int) -> bool:
+    """Whether what stands before ``at`` is the beginning of a command-line flag."""
+    begin = at
+    while begin and (_word(text[begin - 1]) or text[begin - 1] == "-"):
+        begin -= 1
+    return text[begin : begin + 1] == "-" and begin < at and (begin == 0 or text[begin - 1].isspace())
+
+
 def _lower(text: str) -> str:
     low = text.lower()
     # a few letters change their length in lower case; offsets must stay
@@ -141,10 +184,9 @@ def scan(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
                 before = text[start - 1 : start]
                 if text[start:end].lower() in SHORT and before.isalnum() and not (text[start].isupper() and before.islower()):
                     continue
-                if after == ")" and (m := _BEFORE_NOUN.search(text[max(0, start - 400) : start])):
-                    offset = max(0, start - 400)
-                    if secretlike(m.group(1)) and re.search(r"\d", m.group(1)):
-                        keep("token", [(offset + m.start(1), offset + m.end(1))])
+                if after == ")" and (span := _value_before(text, start)):
+                    if secretlike(value := text[slice(*span)]) and re.search(r"\d", value):
+                        keep("token", [span])
                     continue
                 m = _ASSIGN.match(text, end)
                 if m and (lit := _literal(text, m.end())):
@@ -153,7 +195,7 @@ def scan(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
                     if secretlike(bare):
                         keep("password" if "pass" in text[start:end].lower() or "pw" in text[start:end].lower() else "token", lit[1])
                     continue
-                if (m := _KEYED_CALL.match(text, end)) and _KEY_STRING.search(text[max(0, start - 48) : start]) and (lit := _literal(text, m.end())):
+                if (m := _KEYED_CALL.match(text, end)) and _quoted_name(text, start) and (lit := _literal(text, m.end())):
                     if secretlike(lit[0]) and re.search(r"\d", lit[0]):
                         keep("token", lit[1])
                     continue
@@ -169,32 +211,36 @@ def scan(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
                 if (m := _NAMED.match(text, end)) and secretlike(m.group(2)) and re.search(r"\d", m.group(2)) and (len(m.group(2)) >= 16 or re.search(r"[^\w.\-/]", m.group(2))):
                     keep("token", [m.span(2)])
                     continue
-                flag = re.search(r"(?:^|\s)--?[\w-]*$", text[max(0, start - 40) : start])
-                m = _FLAG.match(text, end) if flag else _ENV.match(text, end) if text[start].isupper() else None
+                m = _FLAG.match(text, end) if _flagged(text, start) else _ENV.match(text, end) if text[start].isupper() else None
                 if m and secretlike(m.group(m.lastindex)) and re.search(r"\d|[^\w.\-/]", m.group(m.lastindex)):
                     keep("password", [m.span(m.lastindex)])
             elif kind == "user":
                 if (m := _USER.match(text, end)) and secretlike(m.group(2)):
                     keep("password", [m.span(2)])
             elif kind == "url":
-                if (m := _URL.match(text, start)) and len(m.group(1)) >= 4 and not _PLACEHOLDER.search(m.group(1)) and not _ENV_NAME.match(m.group(1)) and not m.group(1).startswith("$") and m.group(1).lower() not in ("pass", "password", "passwd", "pwd", "secret"):
-                    keep("url", [m.span(1)])
+                if m := grammars().longest(text, start):
+                    first, stop = text.index(":", end) + 1, m[1] - 1
+                    value, host = text[first:stop], text[stop + 1 : stop + 2]
+                    if (_word(host) or host in (".", "[", "-")) and len(value) >= 4 and not _PLACEHOLDER.search(value) and not _ENV_NAME.match(value) and not value.startswith("$") and value.lower() not in ("pass", "password", "passwd", "pwd", "secret"):
+                        keep("url", [(first, stop)])
             elif kind == "armor":
-                if (m := _ARMOR.match(text, start)) and (b := _BODY.match(text, m.end())):
-                    stop = _ARMOR_END.search(text, m.end())
+                if (m := grammars().longest(text, start)) and (b := _BODY.match(text, m[1])):
+                    stop = _ARMOR_END.search(text, m[1])
                     limit = stop.start() if stop else b.end()
-                    keep("key", [r.span() for r in _RUN.finditer(text, m.end(), max(limit, b.end()))] or [b.span(1)], start)
+                    keep("key", [r.span() for r in _RUN.finditer(text, m[1], max(limit, b.end()))] or [b.span(1)], start)
             elif kind == "scheme":
                 before = text[start - 1 : start]
                 if not before.isalnum() and (m := _SCHEME_VALUE.match(text, end)) and secretlike(m.group(1)) and re.search(r"\d", m.group(1)) and re.search("[A-Za-z]", m.group(1)) and (before in "\"'`" or text[max(0, start - 2) : start].strip() == ":"):
                     keep("token", [m.span(1)])
             elif kind == "format":
-                back = start if size > 3 and text[start:end].lower() not in ("_live_", "-pat-") else max(0, start - 6)
-                m = _FORMAT.match(text, start) if back == start or size == 3 else None
-                if not m and back != start:
-                    m = next((v for v in _VENDOR.finditer(text, back, min(len(text), end + 200)) if v.start() <= start < v.end()), None)
-                if m and not text[m.start() - 1 : m.start()].isalnum() and secretlike(m.group()):
-                    keep("token", [m.span()])
+                begin = start
+                if text[start:end].lower() in ("_live_", "-pat-"):
+                    # the vendor's letters stand before
+                    while begin and start - begin < 6 and "a" <= text[begin - 1] <= "z":
+                        begin -= 1
+                m = grammars().longest(text, begin)
+                if m and m[0] in ("cloud", "token") and not _word(text[begin - 1 : begin]) and not (m[0] == "cloud" and _word(text[m[1] : m[1] + 1])) and secretlike(text[begin : m[1]]):
+                    keep("token", [(begin, m[1])])
             elif kind == "call":
                 if (m := _PAIR_CALL.match(text, end)) and (lit := _literal(text, m.end())) and secretlike(lit[0]) and "://" not in lit[0]:
                     keep("password", lit[1])
@@ -216,17 +262,22 @@ def scan(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
     return out
 
 
-def redact(text: str | None, mask: str = "REDACTED") -> str | None:
+def masked(text: str | None, mask: str = "REDACTED") -> tuple[str | None, int]:
+    """The text with its secrets masked, and how many they are."""
     if not text:
-        return text
+        return text, 0
+    hits = scan(text)
     parts, at = [], 0
-    spans = sorted((s, e, i, kind) for _, kind, pieces in scan(text) for i, (s, e) in enumerate(pieces))
-    for s, e, i, kind in spans:
+    for s, e, i, kind in sorted((s, e, i, kind) for _, kind, pieces in hits for i, (s, e) in enumerate(pieces)):
         if s < at:
             continue
         parts += [text[at:s], mask if i == 0 or kind == "key" else ""]
         at = e
-    return "".join([*parts, text[at:]])
+    return "".join([*parts, text[at:]]), len(hits)
+
+
+def redact(text: str | None, mask: str = "REDACTED") -> str | None:
+    return masked(text, mask)[0]
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -345,7 +396,7 @@ def redact_lines(lines: DataFrame) -> DataFrame:
                 if content and n is not None and content == read[n]:
                     out.append((file_id, n, kind, splice(content, spans.get(n, set())), begin[n]))
                 else:
-                    out.append((file_id, n, kind, redact(content), len(scan(content)) if content else 0))
+                    out.append((file_id, n, kind, *masked(content)))
                 if len(out) > 5000:
                     yield pd.DataFrame(out, columns=columns).astype({"line_seq": "Int32"})
                     out = []
@@ -360,6 +411,6 @@ def redacted(text: str | Column) -> Column:
 
     @pandas_udf("struct<redacted:string,n_secrets:int>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(redact(t), len(scan(t)) if t else 0) for t in texts], columns=["redacted", "n_secrets"])
+        return pd.DataFrame([masked(t) for t in texts], columns=["redacted", "n_secrets"])
 
     return run(text)
