@@ -30,6 +30,9 @@ from riftlens.session import checkpointed, salted_rank
 
 PLAN = "spec_name string, size int, rank_from long, rank_to long, per_bin long, bin_from long, slot_from int, at_from int"
 
+#: A plan of at most so many rows (some 40 bytes each) is sent to all workers; a longer one is joined.
+BROADCAST_PLAN = 200_000
+
 
 def harmonic_plan(spec: str, capacity: int, histogram: dict[int, int]) -> Iterable[tuple]:
     """Rows of PLAN: documents of ``size`` with ranks from ``rank_from`` up to before ``rank_to`` go, ``per_bin`` at a time, into the bins from ``bin_from`` on.
@@ -100,9 +103,12 @@ def pack(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "te
     for r in items.groupBy("spec_name", "size").agg(F.count(F.lit(1)).alias("n")).collect():
         counts.setdefault(r["spec_name"], {})[r["size"]] = r["n"]
     plan_rows = [row for name, capacity in spec_rows for row in harmonic_plan(name, capacity, counts.get(name, {}))]
-    plan = spark.createDataFrame(plan_rows, PLAN)
     ranked = salted_rank(items, ["spec_name", "size"], [key, "piece"], "__rank")
-    placed = ranked.join(plan, ["spec_name", "size"]).where((F.col("__rank") >= F.col("rank_from")) & (F.col("__rank") < F.col("rank_to")))
+    # one row for each length, so a document meets one row and looks up the range that its rank lies in
+    part = F.struct("rank_from", "rank_to", "per_bin", "bin_from", "slot_from")
+    plan = spark.createDataFrame(plan_rows, PLAN).groupBy("spec_name", "size").agg(F.collect_list(part).alias("__parts"))
+    found = F.filter("__parts", lambda x: (F.col("__rank") >= x["rank_from"]) & (F.col("__rank") < x["rank_to"]))
+    placed = ranked.join(F.broadcast(plan) if len(plan_rows) <= BROADCAST_PLAN else plan, ["spec_name", "size"]).withColumn("__part", F.element_at(found, 1)).select("*", "__part.*")
     into = F.col("__rank") - F.col("rank_from")
     placed = placed.select(
         "spec_name",
