@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from riftlens.session import checkpointed
+
 DEFECTS = ("empty_answer", "copied_question", "refusal", "other_language", "truncated_answer")
 TRAIN_PAIRS = 3000
 BITS = 14
@@ -407,7 +409,8 @@ def pairs_of(turns: DataFrame) -> DataFrame:
 
 def defects(turns: DataFrame, train_pairs: int = TRAIN_PAIRS, seed: int = SEED) -> DataFrame:
     """thread_id, question_seq, defect (null where there is none) of every pair."""
-    pairs = pairs_of(turns)
+    # kept, as they are fitted and scored
+    pairs = checkpointed(pairs_of(turns))
     sample = pairs.where("length(trim(answer)) > 0").orderBy(F.xxhash64("thread_id", "question_seq"), "thread_id", "question_seq").select("question", "answer").limit(train_pairs)
     w, at_least = train([(r[0], r[1]) for r in sample.collect()], seed)
     w32 = w.astype(np.float32)
