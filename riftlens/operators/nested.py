@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 WRAPPERS = ("structured_output", "structuredOutput", "result", "layout")
 
@@ -38,7 +39,8 @@ def unwrap(payload: str | None, wrappers: Sequence[str] = WRAPPERS):
     """The record inside its wrapping, or None where the payload is damaged."""
     value = payload
     try:
-        for _ in range(12):
+        # each round takes one wrapping off, so the payload gets shorter
+        while True:
             if isinstance(value, str):
                 text = value.lstrip("﻿ \t\r\n")
                 if m := _FENCE.match(text):
@@ -93,17 +95,15 @@ def label(root, list_keys: frozenset[str], map_keys: frozenset[str], keep_keys:
             yield dewey, ordinal, path, node if isinstance(node, str) else json.dumps(node), {} if key is None else {"@key": key}
 
 
-NODE = "dewey string, ordinal int, schema_path string, value string, fields map<string,string>"
-
-
 def dewey_nodes(df: DataFrame, keys: Sequence[str], payload: str, list_keys: Sequence[str] = (), map_keys: Sequence[str] = (), keep_keys: Sequence[str] = (), wrappers: Sequence[str] = WRAPPERS, paths: Sequence[str] | None = None, fields: Sequence[str] | None = None) -> DataFrame:
     """One row per node: ``keys``, dewey, parent_dewey, ordinal, schema_path, value (scalars), fields (an object's scalars).
 
-    ``paths`` and ``fields`` name the schema paths and the fields that are wanted, where not all are.
+    ``paths`` and ``fields`` name the schema paths and the fields that are wanted, where not all are; the fields are then columns
+    of their names instead of a map.
     """
-    only, named = (frozenset(x) if x is not None else None for x in (paths, fields))
+    only = frozenset(paths) if paths is not None else None
     lists, maps, keeps, wraps, keys = frozenset(list_keys), frozenset(map_keys), frozenset(keep_keys), tuple(wrappers), list(keys)
-    columns = [*keys, *(f.split(" ")[0] for f in NODE.split(", "))]
+    columns = [*keys, "dewey", "ordinal", "schema_path", "value", *(["fields"] if fields is None else fields)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,14 +113,16 @@ def dewey_nodes(df: DataFrame, keys: Sequence[str], payload: str, list_keys: Seq
                 if record:
                     for dewey, ordinal, path, value, got in label(record, lists, maps, keeps):
                         if only is None or path in only:
-                            rows.append((*key, dewey, ordinal, path, value, got if named is None else {k: v for k, v in got.items() if k in named}))
+                            rows.append((*key, dewey, ordinal, path, value, *([got] if fields is None else map(got.get, fields))))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     picked = df.select(*keys, payload)
-    schema = T.StructType([picked.schema[k] for k in keys]).add("dewey", "string").add("ordinal", "integer").add("schema_path", "string").add("value", "string").add("fields", T.MapType(T.StringType(), T.StringType()))
+    schema = T.StructType([picked.schema[k] for k in keys]).add("dewey", "string").add("ordinal", "integer").add("schema_path", "string").add("value", "string")
+    for name in [("fields", T.MapType(T.StringType(), T.StringType()))] if fields is None else [(f, T.StringType()) for f in fields]:
+        schema = schema.add(*name)
     nodes = picked.where(F.length(payload) > 2).mapInPandas(run, schema)
     return nodes.withColumn("parent_dewey", F.regexp_replace("dewey", r"\.\d+$", ""))
 
@@ -150,34 +152,51 @@ def layout_nodes(entries: DataFrame, links_only: bool = False) -> DataFrame:
 
 
 def layout_links(nodes: DataFrame) -> DataFrame:
-    """All parent-child links of stored layouts, see :func:`layout_tables`: store, entry_id, link_kind, parent_id, child_pos, child_id.
+    """All parent-child links of stored layouts: store, entry_id, link_kind, parent_id, child_pos, child_id.
 
-    A child finds its parent by the cut label, one equi-join on (store, entry, label); no row needs the whole record.
+    A node is a child under its label cut short, and it may be a holder under its own
+    label; holder and children of one label meet in one group of (store, entry, label), which is no larger than one list of
+    one record.
     """
     key = ["store", "entry_id"]
+    if "fields" in nodes.columns:
+        nodes = nodes.withColumns({f: F.col("fields")[f] for f in LINK_FIELDS})
     path = F.col("schema_path")
     two_up = F.regexp_replace("dewey", r"\.\d+\.\d+$", "")
-    member_id = F.coalesce(F.col("value"), F.col("fields")["cardId"], F.col("fields")["id"], F.col("fields")["@key"])
     kind = (
         F.when(path.isin("clusters[].memberCardIds[]", "clusters[].orderedCardIds[]", "clusters[].members[]"), "cluster_card")
         .when(path.isin("cardUnits[].units[]", "cardUnits[][]", "clusters[].members[].units[]"), "card_unit")
         .when(path == "unclustered[]", "unclustered_card")
         .when(path.isin("mergeSuggestions[].clusterIds[]", "splitSuggestions[].clusterIds[]"), "suggestion_cluster")
     )
-    child_id = F.when(kind == "card_unit", F.coalesce(F.col("fields")["title"], F.col("value"))).otherwise(member_id)
+    child_id = F.when(kind == "card_unit", F.coalesce("title", "value")).otherwise(F.coalesce("value", "cardId", "id", "@key"))
     # a map entry whose value is the list itself holds its elements directly
     holder = F.when(path == "cardUnits[][]", F.col("parent_dewey")).otherwise(two_up)
-    children = nodes.where(kind.isNotNull()).select(*key, kind.alias("link_kind"), holder.alias("holder"), F.col("ordinal").alias("child_pos"), child_id.alias("child_id"))
-    holder_kind = (
-        F.when(path == "clusters[]", F.coalesce(F.col("fields")["id"], F.col("fields")["clusterId"], F.col("fields")["@key"]))
-        .when(path.isin("cardUnits[]", "clusters[].members[]"), F.coalesce(F.col("fields")["cardId"], F.col("fields")["id"], F.col("fields")["@key"]))
+    parent_id = (
+        F.when(path == "clusters[]", F.coalesce("id", "clusterId", "@key"))
+        .when(path.isin("cardUnits[]", "clusters[].members[]"), F.coalesce("cardId", "id", "@key"))
         .when(path == "mergeSuggestions[]", F.concat(F.lit("merge#"), F.col("ordinal")))
         .when(path == "splitSuggestions[]", F.concat(F.lit("split#"), F.col("ordinal")))
         .when(path == "", F.lit("__unclustered"))
     )
-    holders = nodes.where(holder_kind.isNotNull()).select(*key, F.col("dewey").alias("holder"), holder_kind.alias("parent_id"))
-    links = children.where(F.col("child_id").isNotNull()).join(holders, [*key, "holder"])
-    return links.select(*key, "link_kind", "parent_id", "child_pos", "child_id").distinct()
+    none = F.lit(None).cast("string")
+    as_child = F.when(kind.isNotNull() & child_id.isNotNull(), F.struct(holder.alias("at"), kind.alias("link_kind"), none.alias("parent_id"), F.col("ordinal").alias("child_pos"), child_id.alias("child_id")))
+    as_holder = F.when(parent_id.isNotNull(), F.struct(F.col("dewey").alias("at"), none.alias("link_kind"), parent_id.alias("parent_id"), F.lit(None).cast("int").alias("child_pos"), none.alias("child_id")))
+    ends = nodes.select(*key, F.explode(F.array_compact(F.array(as_child, as_holder))).alias("x")).select(*key, "x.*")
+    found = ends.withColumn("parent_id", F.max("parent_id").over(Window.partitionBy(*key, "at")))
+    return found.where("link_kind is not null and parent_id is not null").select(*key, "link_kind", "parent_id", "child_pos", "child_id").distinct()
+
+
+def flat_tables(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All tables of the nodes below each other: keys, table_name (the schema path), row_id, parent_id, child_pos, value, fields.
+
+    One pass over the nodes, whatever the number of schema paths: a row's parent is the row that its cut label names, in the
+    table of the path before it; an element's list is no row of its own.
+    """
+    up = F.when(F.col("schema_path").endswith("[]"), F.regexp_replace("dewey", r"\.\d+\.\d+$", "")).otherwise(F.regexp_replace("dewey", r"\.\d+$", ""))
+    # the list of lists and the root have no member name between them and their holder
+    up = F.when(F.col("schema_path").endswith("[][]"), F.col("parent_dewey")).when(F.col("dewey") == "0", F.lit(None).cast("string")).otherwise(up)
+    return nodes.select(*keys, F.when(F.col("schema_path") == "", "record").otherwise(F.col("schema_path")).alias("table_name"), F.col("dewey").alias("row_id"), up.alias("parent_id"), F.col("ordinal").alias("child_pos"), "value", F.to_json("fields").alias("fields"))
 
 
 def layout_tables(nodes: DataFrame) -> dict[str, DataFrame]:

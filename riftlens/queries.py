@@ -87,13 +87,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Rows per flat table and store."""
-    nodes = nested.layout_nodes(layout_entries(spark, d))
-    each = [t.groupBy("store").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entry_id").alias("n_entries")).select(F.lit(n).alias("table_name"), "*") for n, t in nested.layout_tables(nodes).items()]
-    out = each[0]
-    for t in each[1:]:
-        out = out.unionByName(t)
-    return out
+    """Every flat table, one for each schema path: the row's table, its id, its parent row's id and its place, and its fields."""
+    return nested.flat_tables(nested.layout_nodes(layout_entries(spark, d)), ["store", "entry_id"])
+
+
+@query()
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and entries of each flat table in each store."""
+    return p5_tables(spark, d).groupBy("store", "table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entry_id").alias("n_entries"))
 
 
 # --- cards and lines

@@ -95,3 +95,23 @@ def test_deep_records_keep_their_lower_part():
         root = {"a": root}
     got = list(N.label(root, frozenset(), frozenset(), frozenset()))
     assert len(got) == 701 and got[-1][4] == {"x": "end"}
+
+
+def test_flat_tables_name_each_row_s_parent_and_place(spark):
+    text = json.dumps({"clusters": [{"id": "a", "members": [{"cardId": "x"}, {"cardId": "y", "units": [{"title": "t"}]}]}], "cardUnits": {"x": [{"title": "u"}]}, "unclustered": ["z"]})
+    df = spark.createDataFrame([("s", 1, text), ("s", 2, None), ("s", 3, "{broken")], "store string, entry_id long, payload string")
+    rows = {r.row_id: r for r in N.flat_tables(N.layout_nodes(df), ["store", "entry_id"]).collect()}
+    assert {r.entry_id for r in rows.values()} == {1}
+    tables = {r.table_name for r in rows.values()}
+    assert tables == {"record", "clusters[]", "clusters[].members[]", "clusters[].members[].units[]", "cardUnits[]", "cardUnits[][]", "unclustered[]"}
+    for r in rows.values():
+        assert r.parent_id is None if r.table_name == "record" else r.table_name.startswith("" if rows[r.parent_id].table_name == "record" else rows[r.parent_id].table_name)
+    unit = next(r for r in rows.values() if r.table_name == "clusters[].members[].units[]")
+    assert json.loads(rows[unit.parent_id].fields)["cardId"] == "y" and rows[unit.parent_id].child_pos == 1 and json.loads(unit.fields) == {"title": "t"}
+
+
+def test_wrappings_of_any_depth_are_taken_off():
+    text = json.dumps({"clusters": []})
+    for _ in range(14):
+        text = '{"result": ' + text + "}"
+    assert N.unwrap(text) == {"clusters": []}
