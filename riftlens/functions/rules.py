@@ -20,6 +20,16 @@ LAYERS = (
 OTHER_LAYER = 6
 # fixed values: marks of tests in paths
 TEST_PATHS = ("/test/", "/tests/", "/__tests__/", "_test.", "test_", ".test.", ".spec.")
+# fixed values: ends of names that are contracts; a schema is a candidate only
+CONTRACT_ENDS = ("request", "response", "dto", "payload", "command", "event")
+CANDIDATE_ENDS = (*CONTRACT_ENDS, "schema")
+# fixed values: marks of contracts in paths, and ends of such paths
+CONTRACT_PATHS, CONTRACT_FILES = ("migration", "/config"), (".sql", "config.go", "config.rs", ".proto")
+# fixed values: names and ends of configuration files
+CONFIG_NAMES = ("dockerfile", "caddyfile", ".gitignore", ".dockerignore", "makefile")
+CONFIG_ENDS = (".toml", ".yaml", ".yml", ".json", ".sh", ".caddy", ".env", ".conf", ".ini", ".lock")
+# fixed values: marks of tests in paths of symbols
+TEST_SYMBOL_PATHS = ("/test/", "/tests/", "test_", "/__tests__/")
 # fixed values: marks of entry points in paths
 ENTRY_PATHS = ("controller", "handler", "/routes/", "/route/", "/api/", "/endpoints/", "/router")
 
@@ -31,6 +41,13 @@ def any_part(text: Column, parts: tuple[str, ...]) -> Column:
     return found
 
 
+def any_end(text: Column, ends: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for e in ends:
+        found = found | F.endswith(text, F.lit(e))
+    return found
+
+
 def is_hub(name: Column) -> Column:
     return F.lower(name).isin(*(h.lower() for h in HUB_NAMES))
 
@@ -51,20 +68,21 @@ def entry_point(path: Column, name: Column) -> Column:
 
 
 def contract_name(name: Column) -> Column:
-    return F.lower(name).rlike("(request|response|dto|payload|command|event)$")
+    return any_end(F.lower(name), CONTRACT_ENDS)
 
 
 def contract_candidate(path: Column, name: Column, kind: Column) -> Column:
+    """The name of a symbol that looks like a contract, else null."""
     p = F.lower(path)
-    at = F.contains(p, F.lit("migration")) | F.contains(p, F.lit("/config")) | p.rlike(r"(\.sql|config\.go|config\.rs|\.proto)$")
-    return F.when((F.lower(kind) == "dto") | F.lower(name).rlike("(request|response|dto|payload|command|event|schema)$") | at, F.concat(name, F.lit(" ("), path, F.lit(")")))
+    at = any_part(p, CONTRACT_PATHS) | any_end(p, CONTRACT_FILES)
+    return F.when((F.lower(kind) == "dto") | any_end(F.lower(name), CANDIDATE_ENDS) | at, name)
 
 
 def file_kind(path: Column) -> Column:
     p = F.lower(path)
     base = F.substring_index(p, "/", -1)
     migration = F.contains(p, F.lit("migration")) | F.contains(p, F.lit("/.sqlx/")) | F.endswith(p, F.lit(".sql"))
-    config = base.isin("dockerfile", "caddyfile", ".gitignore", ".dockerignore", "makefile") | F.startswith(base, F.lit("cargo.")) | F.startswith(p, F.lit(".github/")) | F.contains(p, F.lit("/.github/")) | p.rlike(r"\.(toml|yaml|yml|json|sh|caddy|env|conf|ini|lock)$")
+    config = base.isin(*CONFIG_NAMES) | F.startswith(base, F.lit("cargo.")) | F.startswith(p, F.lit(".github/")) | F.contains(p, F.lit("/.github/")) | any_end(p, CONFIG_ENDS)
     return F.when(migration, "migration").when(config, "config").otherwise("file")
 
 
@@ -74,7 +92,7 @@ def file_type_hint(path: Column) -> Column:
 
 def is_test_symbol(lang: Column, path: Column, name: Column) -> Column:
     p = F.lower(path)
-    here = any_part(p, ("/test/", "/tests/", "test_", "/__tests__/")) | F.endswith(p, F.lit("_test.go"))
+    here = any_part(p, TEST_SYMBOL_PATHS) | F.endswith(p, F.lit("_test.go"))
     named = F.when(lang == "go", F.startswith(name, F.lit("Test"))).when(lang.isin("java", "kotlin"), name.rlike("Tests?$|^test")).otherwise(F.lit(False))
     return here | named
 

@@ -64,7 +64,7 @@ def signature(lines: Column, start_row: Column) -> Column:
 def body(lines: Column, start_row: Column, end_row: Column) -> Column:
     """Collapsed lines after the header, without empty ones, comments and lone braces; a multiset in sorted order."""
     inner = F.slice(lines, start_row + 2, F.greatest(end_row - start_row, F.lit(0)))
-    kept = F.filter(F.transform(inner, collapse), lambda x: (x != "") & ~comment_only(x) & ~x.isin("{", "}", "};", "},"))
+    kept = F.filter(F.transform(inner, collapse), lambda x: (x != "") & ~comment_only(x) & ~x.isin("{", "}"))
     return F.array_sort(kept)
 
 
@@ -103,11 +103,19 @@ def line_change_type(adds: Column, dels: Column) -> Column:
     return F.when(dels == 0, "added").when(adds == 0, "deleted").otherwise("modified")
 
 
+# fixed values: beginnings of import lines
+IMPORT_LEADS = ("import ", "import\t", "package ", "use ", "extern crate ", "using ", "namespace ", "#include", "require ", "require_relative ")
+
+
 def import_like(line: Column) -> Column:
-    """Import, package and include lines of the common languages, and a lone quoted path as Go lists them."""
+    """Import, package and include lines of the common languages, visibility taken off, and a lone quoted path as Go lists them."""
     t = strip(line)
-    quoted = t.rlike(r'^([\w.]+ )?"[^"]*"$') & ~F.contains(t, F.lit("=")) & ~F.contains(t, F.lit("//"))
-    return t.rlike(r"^(import|package|use|from|include|require|extern crate|mod|pub use|pub mod|#include)\b") | t.isin("import (", ")") | quoted
+    bare = F.regexp_replace(t, r"^(pub\(crate\) |pub )", "")
+    led = (F.startswith(bare, F.lit("from ")) & F.contains(bare, F.lit(" import ")))
+    for lead in IMPORT_LEADS:
+        led = led | F.startswith(bare, F.lit(lead))
+    quoted = F.endswith(t, F.lit('"')) & (F.regexp_count(t, F.lit('"')) == 2) & ~F.contains(t, F.lit("=")) & ~F.contains(t, F.lit("//"))
+    return led | quoted
 
 
 def imported_names(lang: Column, source: Column) -> Column:

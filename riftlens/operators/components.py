@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riftlens.session import checkpointed, global_rank
+from riftlens.session import checkpointed, grouped_rank
 
+SCOPE_SEPARATOR = "\u001f"
 
-def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id that a node is linked with, itself where it has no link.
 
     ``nodes`` has id, ``pairs`` has a and b; pairs that name other nodes, loops and repeated pairs change nothing.
@@ -22,7 +24,7 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFram
     known = pairs.select("a", "b").where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     edges = checkpointed(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node link to the smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -36,36 +38,49 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFram
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError(f"no fixpoint after {rounds} rounds")
     return ids.join(edges.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
-def seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(seed_id, id): components numbered from 1 by their smallest member."""
-    labelled = components(nodes, pairs)
-    roots = global_rank(labelled.select("component").distinct(), [F.col("component")], "n").select("component", F.concat(F.lit("seed-"), F.col("n") + 1).alias("seed_id"))
-    return labelled.join(roots, "component").select("seed_id", "id")
+def seeds(nodes: DataFrame, pairs: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope, seed_id, id): components numbered from 1 by their smallest member, within each scope by itself.
+
+    With ``scope``, nodes and pairs carry its columns, and equal ids of two scopes are two nodes.
+    """
+    scope = scope or []
+    if not scope:
+        labelled = components(nodes, pairs)
+    else:
+        within = lambda c: F.concat_ws(SCOPE_SEPARATOR, *scope, c)
+        named = nodes.select(*scope, "id").where("id is not null").distinct().withColumn("__node", within("id"))
+        found = components(named.select(F.col("__node").alias("id")), pairs.select(within("a").alias("a"), within("b").alias("b")))
+        labelled = named.join(found.withColumnRenamed("id", "__node"), "__node").drop("__node")
+    roots = grouped_rank(labelled.select(*scope, "component").distinct(), scope, [F.col("component")], "n").select(*scope, "component", F.concat(F.lit("seed-"), F.col("n") + 1).alias("seed_id"))
+    return labelled.join(roots, [*scope, "component"]).select(*scope, "seed_id", "id")
 
 
-def merge_base(parents: DataFrame, left: DataFrame, right: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Nearest common ancestors of commits: (left_id, right_id, base_id), ties to the smallest id.
+def merge_base(parents: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Best common ancestors of commits: (left_id, right_id, base_id), ties to the nearest, then to the smallest id.
 
-    ``parents`` has id and parent; ``left`` and ``right`` hold one column id each and are few.  The frontier moves up one
-    generation a round until it is empty.
+    A common ancestor from which another one descends is not a best one.  ``parents`` has id and parent; ``left`` and
+    ``right`` hold one column id each and are few.  The frontier moves up one generation a round until it is empty; what
+    earlier rounds saw is kept as they wrote it.
     """
+    edges = parents.select("id", "parent").where("parent is not null").distinct()
 
     def ancestry(start: DataFrame) -> DataFrame:
-        seen = checkpointed(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
-        front = seen
-        for _ in range(rounds):
-            up = front.join(parents.select(F.col("id"), "parent").where("parent is not null"), "id").select("start", F.col("parent").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = seen = checkpointed(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
+        depth = 0
+        while True:
+            depth += 1
+            up = front.join(edges, "id").select("start", F.col("parent").alias("id"), F.lit(depth).alias("depth")).distinct()
             front = checkpointed(up.join(seen.select("start", "id"), ["start", "id"], "left_anti"))
             if front.isEmpty():
                 return seen
-            seen = checkpointed(seen.unionByName(front))
-        raise RuntimeError(f"ancestry deeper than {rounds}")
+            seen = seen.unionByName(front)
 
     a, b = ancestry(left), ancestry(right)
-    common = a.select(F.col("start").alias("left_id"), "id", F.col("depth").alias("dl")).join(b.select(F.col("start").alias("right_id"), "id", F.col("depth").alias("dr")), "id")
-    return common.groupBy("left_id", "right_id").agg(F.min_by("id", F.struct(F.col("dl") + F.col("dr"), "id")).alias("base_id"))
+    common = checkpointed(a.select(F.col("start").alias("left_id"), "id", F.col("depth").alias("dl")).join(b.select(F.col("start").alias("right_id"), "id", F.col("depth").alias("dr")), "id"))
+    # all ancestors of a common ancestor are common, so one that is no best one is a parent of a common one
+    passed = common.join(edges, "id").select("left_id", "right_id", F.col("parent").alias("id")).distinct()
+    best = common.join(passed, ["left_id", "right_id", "id"], "left_anti")
+    return best.groupBy("left_id", "right_id").agg(F.min_by("id", F.struct(F.col("dl") + F.col("dr"), "id")).alias("base_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftlens.functions import rules as R
-from riftlens.session import global_rank
+from riftlens.session import grouped_rank
 
 # fixed values: kinds of clusters
 KINDS = ("flow", "contract", "domain-concept", "shared-foundation", "infra")
@@ -46,10 +46,42 @@ def seed_features(members: DataFrame, strong: DataFrame) -> DataFrame:
     return joined.select("seed_id", "symbols", "entrypoints", "contracts", "n", kind.alias("kind"))
 
 
-def file_seeds(cards: DataFrame, seeded: DataFrame) -> DataFrame:
+def file_seeds(cards: DataFrame, seeded: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Cards in no seed become seeds of their own, numbered from 1 in card order: seed_id, card_id, type_hint."""
-    rest = cards.join(seeded.select("card_id").distinct(), "card_id", "left_anti")
-    return global_rank(rest, [F.col("seq"), F.col("card_id")], "n").select(F.concat(F.lit("file-seed-"), F.col("n") + 1).alias("seed_id"), "card_id", R.file_type_hint(F.col("path")).alias("type_hint"))
+    scope = scope or []
+    rest = cards.join(seeded.select(*scope, "card_id").distinct(), [*scope, "card_id"], "left_anti")
+    ranked = grouped_rank(rest, scope, [F.col("seq"), F.col("card_id")], "n")
+    return ranked.select(*scope, F.concat(F.lit("file-seed-"), F.col("n") + 1).alias("seed_id"), "card_id", R.file_type_hint(F.col("path")).alias("type_hint"))
+
+
+def all_seeds(seeded: DataFrame, cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Members of symbol seeds and the file seeds of all other cards: scope, seed_id, card_id, type_hint (null for symbol seeds)."""
+    files = file_seeds(cards, seeded, scope)
+    return seeded.select(*(scope or []), "seed_id", "card_id").unionByName(files, allowMissingColumns=True)
+
+
+def seed_records(features: DataFrame, members: DataFrame, pairs: DataFrame, tests: DataFrame, deleted: DataFrame, renamed: DataFrame, resigned: DataFrame) -> DataFrame:
+    """The whole record of each seed: its features, related tests, signals of its files, and strong and weak pairs within it.
+
+    ``members`` has seed_id, card_id, path; ``pairs`` seed_id, a, b, grade; ``tests`` card_id, name of test symbols; ``deleted``
+    path, name; ``renamed`` path, from_name, to_name; ``resigned`` path, name, before, after.  Lists are sorted; a seed without
+    any has an empty one.
+    """
+    here = members.select("seed_id", "card_id", "path").distinct()
+    paths = here.select("seed_id", "path").distinct()
+
+    def listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        one = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+        return rows.groupBy("seed_id").agg(F.array_sort(F.collect_set(one)).alias(name))
+
+    out = features
+    for part in (
+        listed(here.join(tests, "card_id"), "related_tests", "name"), listed(paths.join(deleted, "path"), "deleted_symbols", "path", "name"), listed(paths.join(renamed, "path"), "renames", "path", "from_name", "to_name"),
+        listed(paths.join(resigned, "path"), "signature_changes", "path", "name", "before", "after"), listed(pairs.where("grade = 'strong'"), "strong_hints", "a", "b"), listed(pairs.where("grade = 'weak'"), "weak_hints", "a", "b"),
+    ):
+        name = part.columns[-1]
+        out = out.join(part, "seed_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out
 
 
 def attach_deleted(deleted: DataFrame, members: DataFrame) -> DataFrame:

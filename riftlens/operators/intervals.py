@@ -11,25 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], point: str = "row", start: str = "start_row", end: str = "end_row", index: str = "sym_idx", bin_rows: int | None = None) -> DataFrame:
+#: Rows to a bin: a point meets the intervals that touch its bin, however many its key has.
+BIN_ROWS = 512
+
+
+def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], point: str = "row", start: str = "start_row", end: str = "end_row", index: str = "sym_idx", bin_rows: int | None = BIN_ROWS) -> DataFrame:
     """Every point with ``index`` of its narrowest holding interval (ties to the lowest index), null where none holds it.
 
-    ``points`` needs unique rows; with ``bin_rows`` both sides are cut into bins of that many rows.
+    Both sides are cut into bins of rows (without ``bin_rows`` a key is one bin).  Only keys and places are matched, each place of a key once; the points' other columns
+    are joined to what was found.
     """
     slim = intervals.select(*keys, start, end, index).where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    on = list(keys)
-    left = points
-    if bin_rows:
-        slim = slim.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / bin_rows), F.floor(F.col(end) / bin_rows))))
-        left = points.withColumn("__bin", F.floor(F.col(point) / bin_rows))
-        on.append("__bin")
-    right = slim.select(*(F.col(k).alias(f"__r_{k}") for k in on), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(index).alias("__i"))
-    same = F.lit(True)
-    for k in on:
-        same = same & left[k].eqNullSafe(right[f"__r_{k}"]) if k != "__bin" else same & (left[k] == right[f"__r_{k}"])
-    holds = same & (left[point] >= F.col("__s")) & (left[point] <= F.col("__e"))
-    best = F.min_by(F.col("__i"), F.struct(F.col("__e") - F.col("__s"), F.col("__i")))
-    return left.join(right, holds, "left").groupBy(*points.columns).agg(best.alias(index))
+    bin_of = lambda c: F.floor(F.col(c) / bin_rows) if bin_rows else F.lit(0).cast("long")
+    slim = slim.withColumn("__bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    names = [f"__k{i}" for i in range(len(keys))]
+    places = points.where(F.col(point).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(point).alias("__p")).distinct()
+    places = places.withColumn("__b", bin_of("__p"))
+    same = F.col("__bin") == F.col("__b")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    holds = same & (F.col("__p") >= F.col(start)) & (F.col("__p") <= F.col(end))
+    best = F.min_by(F.col(index), F.struct(F.col(end) - F.col(start), F.col(index)))
+    found = places.join(slim, holds).groupBy(*names, "__p").agg(best.alias("__found"))
+    back = points[point] == F.col("__p")
+    for k, n in zip(keys, names, strict=True):
+        back = back & points[k].eqNullSafe(F.col(n))
+    return points.join(found, back, "left").select(*points.columns, F.col("__found").alias(index))
 
 
 def effective_rows(lines: DataFrame, keys: list[str]) -> DataFrame:

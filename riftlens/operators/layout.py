@@ -38,14 +38,27 @@ def layered(members: DataFrame, group: list[str] | None = None) -> DataFrame:
     return once.select(*group, "seed_id", "rank", "title", (F.row_number().over(within) - 1).alias("pos"), "card_id")
 
 
-def assembled(order: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def label_inputs(members: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The members that labels are asked for: cluster_id, member_pos, card_id with their symbols' names, in order; others are out."""
+    return members.join(symbols.select("card_id", "name").distinct(), "card_id").select("cluster_id", "member_pos", "card_id", "name")
+
+
+def assembled(order: DataFrame, members: DataFrame, labels: DataFrame, unclustered: DataFrame | None = None) -> DataFrame:
     """cluster_id, cluster_pos, title, summary, member_pos, flat_pos, card_id of a verified proposal.
 
-    ``order`` is (cluster_id, pos), ``members`` (cluster_id, member_pos, card_id), ``labels`` (cluster_id, title, summary).
+    ``order`` is (cluster_id, pos), ``members`` (cluster_id, member_pos, card_id), ``labels`` (cluster_id, title, summary).  A
+    cluster stands where the order names it first, those that it leaves out come after it by their ids, and the cards of
+    ``unclustered`` (card_id) come last, without a cluster.
     """
-    joined = members.join(order.withColumnRenamed("pos", "cluster_pos"), "cluster_id").join(labels, "cluster_id", "left")
-    ranked = global_rank(joined, [F.col("cluster_pos"), F.col("member_pos"), F.col("card_id")], "flat_pos")
-    return ranked.select("cluster_id", "cluster_pos", F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"), "summary", "member_pos", F.col("flat_pos").cast("int").alias("flat_pos"), "card_id")
+    named = order.groupBy("cluster_id").agg(F.min("pos").alias("p"))
+    every = members.select("cluster_id").distinct().join(named, "cluster_id", "left")
+    placed = global_rank(every, [F.col("p").isNull(), F.col("p"), F.col("cluster_id")], "cluster_pos").drop("p")
+    joined = members.join(placed, "cluster_id").join(labels, "cluster_id", "left").withColumn("title", F.coalesce("title", F.lit(DEFAULT_TITLE)))
+    if unclustered is not None:
+        loose = unclustered.select("card_id").distinct().join(members.select("card_id"), "card_id", "left_anti")
+        joined = joined.unionByName(loose, allowMissingColumns=True)
+    ranked = global_rank(joined, [F.col("cluster_pos").isNull(), F.col("cluster_pos"), F.col("member_pos"), F.col("card_id")], "flat_pos")
+    return ranked.select("cluster_id", F.col("cluster_pos").cast("int").alias("cluster_pos"), "title", "summary", "member_pos", F.col("flat_pos").cast("int").alias("flat_pos"), "card_id")
 
 
 def folded(cards: DataFrame, layout: DataFrame, summaries: DataFrame) -> DataFrame:

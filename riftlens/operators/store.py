@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from riftlens.functions import text as X
+from riftlens.session import checkpointed
 
 # fixed value: version of stored payloads
 SCHEMA_VERSION = 3
 
 
-def content_hash(*columns: Column) -> Column:
-    """SHA-256 over the canonical JSON of values; arrays are sorted, so their order does not count."""
-    return F.sha2(F.to_json(F.struct(F.lit("card").alias("tag"), F.lit(SCHEMA_VERSION).alias("version"), *columns)), 256)
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A value with its arrays sorted, at any depth, so that their order does not count."""
+    if isinstance(kind, T.ArrayType):
+        return F.array_sort(F.transform(value, lambda x: canonical(x, kind.elementType)))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(canonical(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def content_hash(rows: DataFrame, leave_out: tuple[str, ...] = ("seed_id",), out: str = "card_hash") -> DataFrame:
+    """Rows with the SHA-256 over the canonical JSON of their columns, names that do not tell what a card holds left out."""
+    parts = [canonical(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in leave_out]
+    return rows.withColumn(out, F.sha2(F.to_json(F.struct(F.lit("card").alias("tag"), F.lit(SCHEMA_VERSION).alias("version"), *parts)), 256))
 
 
 def set_hash(hashes: Column) -> Column:
@@ -33,34 +47,45 @@ def read_entries(entries: DataFrame, payload: str, schema: str, required: str) -
     return decoded.where(F.col(f"record.{required}").isNotNull())
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a store, or None where there is none; any other failure to read is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def create(spark: SparkSession, path: str, schema: str | T.StructType) -> None:
+    """An empty store of a schema, where there is none yet."""
+    if stored(spark, path) is None:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        spark.createDataFrame([], T.StructType([*kind.fields, T.StructField("bucket", T.IntegerType())])).write.mode("append").parquet(path)
+
+
 def put(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:
     """Insert or replace: the partitions that the rows touch are written anew, others stay as they are.
 
     The key is hashed into the partition column, so a write touches few files; there is one writer at a time.
     """
     new = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(64)).cast("int"))
-    try:
-        old = spark.read.parquet(path)
-    except Exception:
-        old = None
+    old = stored(spark, path)
     if old is not None:
         touched = new.select("bucket").distinct()
         kept = old.join(touched, "bucket", "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
-        from riftlens.session import checkpointed
-
         new = checkpointed(kept.unionByName(new))
     new.write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def get(spark: SparkSession, path: str, **key) -> DataFrame:
-    """The rows of a key; an absent store has none."""
+def get(spark: SparkSession, path: str, schema: str | None = None, **key) -> DataFrame:
+    """The rows of a key; an absent store has none, of the given ``schema`` (without it, of the key's columns only)."""
     names = list(key)
     probe = spark.range(1).select(*(F.lit(v).alias(k) for k, v in key.items()))
     bucket = probe.select(F.pmod(F.xxhash64(*names), F.lit(64)).cast("int")).first()[0]
-    try:
-        rows = spark.read.parquet(path)
-    except Exception:
-        return spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    rows = stored(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], schema) if schema else probe.limit(0)
     found = rows.where(F.col("bucket") == bucket)
     for k, v in key.items():
         found = found.where(F.col(k) == F.lit(v))
@@ -83,6 +108,11 @@ def load_threads(store: DataFrame, key: str) -> str:
         return "[]"
 
 
+def save_threads(spark: SparkSession, path: str, key: str, payload: str) -> None:
+    """Write one key's array; other keys keep theirs, and a payload that is no JSON array is refused."""
+    put(spark, path, spark.createDataFrame([(key, check_threads(payload))], "key string, payload string"), ["key"])
+
+
 def check_threads(payload: str) -> str:
     """The payload, if it is a JSON array; anything else is refused."""
     import json
@@ -92,6 +122,12 @@ def check_threads(payload: str) -> str:
     return payload
 
 
+def history(visits: DataFrame, keys: list[str], at: str = "at", most: int = 100) -> DataFrame:
+    """The last steps of each key, as many as are kept, with ``back`` from 0 for the last one."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(at))
+    return visits.withColumn("back", F.row_number().over(w) - 1).where(F.col("back") < most)
+
+
 def recent(visits: DataFrame, most: int = 4) -> DataFrame:
     """The last visited paths, newest first."""
     return visits.groupBy("path").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "path").limit(most)

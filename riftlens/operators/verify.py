@@ -35,6 +35,28 @@ def absorbed(members: DataFrame, unclustered: DataFrame, whitelist: DataFrame) -
     return whitelist.select("card_id").unionByName(unclustered.select("card_id")).distinct().join(members.select("card_id"), "card_id", "left_anti")
 
 
+def verify_clusters(members: DataFrame, unclustered: DataFrame, whitelist: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """The verified clustering of each layout (``group``): cluster_id, cluster_pos, member_pos, card_id, cluster_id null for unclustered.
+
+    A layout that names an unknown card anywhere is rejected whole and gives no rows; else each card stays in the first cluster
+    that names it, and every known card that no cluster took is unclustered.
+    """
+    group = group or []
+    known = whitelist.select(*group, "card_id").distinct()
+    named = members.select(*group, "card_id").unionByName(unclustered.select(*group, "card_id")).distinct()
+    strange = named.join(known, [*group, "card_id"], "left_anti")
+    if group:
+        bad = strange.select(*group).distinct()
+        keep = lambda df: df.join(bad, group, "left_anti")
+    else:
+        bad = strange.agg((F.count(F.lit(1)) > 0).alias("__bad"))
+        keep = lambda df: df.join(F.broadcast(bad.where("__bad")), F.lit(True), "left_anti")
+    first = Window.partitionBy(*group, "card_id").orderBy("cluster_pos", "member_pos")
+    once = keep(members).withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    rest = keep(known).join(once.select(*group, "card_id"), [*group, "card_id"], "left_anti")
+    return once.select(*group, "cluster_id", "cluster_pos", "member_pos", "card_id").unionByName(rest, allowMissingColumns=True)
+
+
 def order_problems(order: DataFrame, clusters: DataFrame, whitelist: DataFrame) -> DataFrame:
     """(cluster_id, problem) of an ordering (cluster_id, pos, card_id) held against clusters (cluster_id, card_id)."""
     named = order.join(whitelist.select("card_id").distinct(), "card_id", "left_anti").select("cluster_id", F.lit("unknown card").alias("problem"))
@@ -112,20 +134,72 @@ def fits_one_call(members: DataFrame, most: int = 48, small: int = 12) -> DataFr
     return members.groupBy("layout_id").agg(n.alias("symbols"), (n <= small).alias("is_small"), (n <= most).alias("combined_fits"))
 
 
+def _filled(rows: DataFrame) -> DataFrame:
+    """Rows with their empty lists as nulls, which JSON leaves out."""
+    lists = [c for c, t in rows.dtypes if t.startswith("array")]
+    return rows.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in lists})
+
+
 def proposal_payload(features: DataFrame) -> DataFrame:
     """(seed_id, payload): a seed's features as JSON; empty lists and nulls are left out."""
-    lists = [c for c, t in features.dtypes if t.startswith("array")]
-    filled = features.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in lists})
+    filled = _filled(features)
     return filled.select("seed_id", F.to_json(F.struct(*[c for c in filled.columns if c != "seed_id"])).alias("payload"))
 
 
-# closed shapes of proposal records: every field is required
-CLUSTERS_SHAPE = "struct<clusters:array<struct<clusterId:string,memberCardIds:array<string>,kind:string>>,unclustered:array<string>,clusterOrder:array<string>>"
+def seeds_payload(features: DataFrame, key: str = "layout_id") -> DataFrame:
+    """(key, payload): all seeds of a layout as one JSON object with the list ``seeds``, in order of their ids."""
+    filled = _filled(features)
+    seed = F.struct(F.col("seed_id"), *[c for c in filled.columns if c not in (key, "seed_id")])
+    return filled.groupBy(key).agg(F.to_json(F.struct(F.array_sort(F.collect_list(seed)).alias("seeds"))).alias("payload"))
+
+
+def clusters_payload(members: DataFrame, key: str = "layout_id") -> DataFrame:
+    """(key, payload): the clusters of a layout with their cards, as ordering and labelling ask for them."""
+    per = members.groupBy(key, "cluster_id").agg(F.min("cluster_pos").alias("p"), F.transform(F.array_sort(F.collect_list(F.struct("member_pos", "card_id"))), lambda x: x["card_id"]).alias("memberCardIds"))
+    cluster = F.struct("p", F.struct(F.col("cluster_id").alias("clusterId"), "memberCardIds").alias("c"))
+    return per.groupBy(key).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(cluster)), lambda x: x["c"]).alias("clusters"))).alias("payload"))
+
 
+# closed shapes of proposal records: every field is required, lists stand where a map would have open names
+CLUSTER = "struct<clusterId:string,memberCardIds:array<string>,kind:string>"
+CLUSTERING_SHAPE = f"struct<clusters:array<{CLUSTER}>,unclustered:array<string>>"
+ORDER_SHAPE = "struct<clusterOrder:array<string>,clusters:array<struct<clusterId:string,orderedCardIds:array<string>>>>"
+CLUSTERS_SHAPE = f"struct<clusters:array<{CLUSTER}>,unclustered:array<string>,clusterOrder:array<string>>"
+SUGGESTION = "struct<clusterIds:array<string>,reason:string>"
+LABELS_SHAPE = f"struct<labels:array<struct<clusterId:string,title:string,summary:string,kind:string,cardSummaries:array<struct<cardId:string,summary:string>>>>,mergeSuggestions:array<{SUGGESTION}>,splitSuggestions:array<{SUGGESTION}>>"
+LABEL_SHAPE = "struct<title:string,summary:string,cardSummaries:array<struct<cardId:string,summary:string>>>"
+UNITS_SHAPE = "struct<units:array<struct<title:string,why:string,tag:string,startLine:int,endLine:int,anchorLine:int>>>"
 
-def read_proposals(replies: DataFrame, shape: str = CLUSTERS_SHAPE) -> DataFrame:
-    """Replies (layout_id, reply) that decode to the shape with all of its fields; fences and wrappers are taken off."""
-    decoded = replies.withColumn("record", F.from_json(X.strip_fence(X.unwrap_json(X.strip_fence(F.col("reply")))), shape))
-    for f in T.DataType.fromDDL(shape).fieldNames():
-        decoded = decoded.where(F.col(f"record.{f}").isNotNull())
-    return decoded.where("record is not null").select("layout_id", "record")
+
+def complete(value, kind: T.DataType):
+    """Whether a decoded record has all that its closed shape requires, at any depth: no null anywhere."""
+    if isinstance(kind, T.StructType):
+        whole = value.isNotNull()
+        for f in kind.fields:
+            whole = whole & complete(value[f.name], f.dataType)
+        return F.coalesce(whole, F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.forall(value, lambda x: complete(x, kind.elementType)), F.lit(False))
+    return value.isNotNull()
+
+
+def read_proposals(replies: DataFrame, shape: str = CLUSTERS_SHAPE, keys: tuple[str, ...] = ("layout_id",)) -> DataFrame:
+    """Replies (keys, reply) that decode to the shape with all of its fields; fences and wrappers are taken off."""
+    kind = T.DataType.fromDDL(shape)
+    decoded = replies.withColumn("record", F.from_json(X.strip_fence(X.unwrap_json(X.strip_fence(F.col("reply")))), kind))
+    return decoded.where(complete(F.col("record"), kind)).select(*keys, "record")
+
+
+#: How often a proposal is asked for before the default stands in.
+ATTEMPTS = 2
+
+
+def first_usable(requests: DataFrame, replies: DataFrame, shape: str = CLUSTERS_SHAPE) -> DataFrame:
+    """(layout_id, attempt, record) of every request: the first of its two replies (layout_id, attempt, reply) that can be read.
+
+    Where neither can, attempt and record are null and the default stands in: the layered layout, the identity order or the
+    default labels.
+    """
+    read = read_proposals(replies.where(F.col("attempt").between(1, ATTEMPTS)), shape, ("layout_id", "attempt"))
+    first = read.groupBy("layout_id").agg(F.min("attempt").alias("attempt"), F.min_by("record", "attempt").alias("record"))
+    return requests.select("layout_id").distinct().join(first, "layout_id", "left")

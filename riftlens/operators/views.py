@@ -168,11 +168,14 @@ def transcript(turns: DataFrame, assistants: tuple[str, ...] = ("ai", "assistant
 
 
 def excerpt(lines: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines around an anchor (keys, anchor_seq): all of a short card, else up to sixty on each side, within the card."""
+    """Lines around an anchor (keys, anchor_seq): all of a short card, else up to sixty on each side, within the card.
+
+    An anchor past the last line stands at the last line, one that is null at the first.
+    """
     order = Window.partitionBy(*keys)
     sized = lines.join(anchors, keys).withColumns({"__at": F.row_number().over(order.orderBy("line_seq")) - 1, "__n": F.count(F.lit(1)).over(order)})
-    pos = F.max(F.when(F.col("line_seq") == F.col("anchor_seq"), F.col("__at"))).over(order)
-    return sized.withColumn("__pos", pos).where((F.col("__n") <= 2 * EXCERPT + 1) | F.abs(F.col("__at") - F.coalesce("__pos", F.lit(0))).between(0, EXCERPT)).drop("__at", "__n", "__pos")
+    pos = F.least(F.count_if(F.col("line_seq") < F.col("anchor_seq")).over(order), F.col("__n") - 1)
+    return sized.withColumn("__pos", pos).where((F.col("__n") <= 2 * EXCERPT + 1) | (F.abs(F.col("__at") - F.col("__pos")) <= EXCERPT)).drop("__at", "__n", "__pos")
 
 
 def checklist(turns: DataFrame, threads: DataFrame) -> DataFrame:
@@ -184,10 +187,16 @@ def checklist(turns: DataFrame, threads: DataFrame) -> DataFrame:
 
 
 def viewport(rows: DataFrame, keys: list[str], top: float, bottom: float, overscan: float = 1600.0) -> DataFrame:
-    """Rows that a window from ``top`` to ``bottom`` shows, by prefix sums of their heights, with some beyond it."""
+    """Rows that a window from ``top`` to ``bottom`` shows, by prefix sums of their heights, with some beyond it.
+
+    From the first row whose lower edge lies below the upper bound, to before the first whose upper edge is at the lower bound,
+    one row at least.
+    """
     w = Window.partitionBy(*keys).orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum("height").over(w)).withColumn("begin", F.col("end") - F.col("height"))
-    return placed.where((F.col("end") >= top - overscan) & (F.col("begin") <= bottom + overscan))
+    below = placed.where(F.col("end") > top - overscan)
+    first = F.min("row_no").over(Window.partitionBy(*keys))
+    return below.withColumn("__first", first).where((F.col("begin") < bottom + overscan) | (F.col("row_no") == F.col("__first"))).drop("__first")
 
 
 def widest(lines: DataFrame, keys: list[str], floor: int = 24) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riftlens.functions import rules as R
 from riftlens.functions import text as X
 from riftlens.operators import cards as cards_ops
-from riftlens.operators import components, intervals, layout, relations
+from riftlens.operators import components, features, intervals, layout, relations
 from riftlens.session import checkpointed
 from riftlens.sources import declarations
 
@@ -24,28 +24,50 @@ class Review:
     layout: DataFrame
 
 
-def changed_table(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Changed symbols of modified text files: file_id, card_id, sym_idx, name, owner, path, is_test."""
-    usable = files.where("status = 'Modified' and not is_binary")
-    syms = declarations.symbols(usable)
+#: Card ids are paths, so all that goes by cards goes by the review as well.
+SCOPE = ["repo_path", "review_id"]
+
+
+def usable(files: DataFrame) -> DataFrame:
+    """Files that may have relations: modified text."""
+    return files.where("status = 'Modified' and not is_binary")
+
+
+def changed_table(files: DataFrame, lines: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Changed symbols of modified text files: repo_path, review_id, file_id, card_id, sym_idx, name, owner, path, is_test."""
+    parsed = declarations.parsed(usable(files)) if parsed is None else parsed
+    syms = declarations.symbols_of(parsed)
     hit = cards_ops.changed_symbols(intervals.attribute_lines(lines, syms, ["file_id"]), syms, ["file_id"])
-    at = usable.select("file_id", F.col("new_path").alias("path")).distinct()
-    return hit.join(at, "file_id").select("file_id", X.card_id(F.col("path")).alias("card_id"), "sym_idx", "name", "owner", "path", R.is_test_symbol(X.language(F.col("path")), F.col("path"), F.col("name")).alias("is_test"))
+    at = usable(files).select(*SCOPE, "file_id", F.col("new_path").alias("path")).distinct()
+    return hit.join(at, "file_id").select(*SCOPE, "file_id", X.card_id(F.col("path")).alias("card_id"), "sym_idx", "name", "owner", "path", R.is_test_symbol(X.language(F.col("path")), F.col("path"), F.col("name")).alias("is_test"))
 
 
-def relation_pairs(files: DataFrame, lines: DataFrame, changed: DataFrame, all_pairs: bool = True) -> DataFrame:
-    """Strong and weak pairs of the changed symbols' cards; without ``all_pairs``, links that join the same cards."""
-    refs = declarations.references(files.where("status = 'Modified' and not is_binary")).join(changed.select("file_id", "sym_idx", "card_id"), ["file_id", "sym_idx"]).select("card_id", "bucket", "ident", "in_header")
+def relation_pairs(files: DataFrame, changed: DataFrame, parsed: DataFrame, all_pairs: bool = True) -> DataFrame:
+    """Strong and weak pairs of the changed symbols' cards of each review; without ``all_pairs``, links that join the same cards."""
+    refs = declarations.references_of(parsed).join(changed.select(*SCOPE, "file_id", "sym_idx", "card_id"), ["file_id", "sym_idx"]).select(*SCOPE, "card_id", "bucket", "ident", "in_header")
     lang = X.language(F.col("new_path"))
-    imports = files.select(X.card_id(F.col("new_path")).alias("card_id"), F.explode(X.imported_names(lang, F.col("new_source"))).alias("ident")).join(changed.select("card_id").distinct(), "card_id", "left_semi")
-    return relations.pairs(changed, refs, imports, all_pairs)
+    imports = files.select(*SCOPE, X.card_id(F.col("new_path")).alias("card_id"), F.explode(X.imported_names(lang, F.col("new_source"))).alias("ident")).join(changed.select(*SCOPE, "card_id").distinct(), [*SCOPE, "card_id"], "left_semi")
+    return relations.pairs(changed, refs, imports, all_pairs, SCOPE)
+
+
+def seeded(files: DataFrame, cards: DataFrame, changed: DataFrame, links: DataFrame) -> DataFrame:
+    """Seeds of each review: components of its changed symbols' cards, and every other card by itself; repo_path, review_id, seed_id, card_id, name, type_hint."""
+    named = components.seeds(changed.select(*SCOPE, F.col("card_id").alias("id")), links, SCOPE).withColumnRenamed("id", "card_id")
+    order = files.groupBy("file_id").agg(*(F.first(c).alias(c) for c in (*SCOPE, "file_seq", "new_path")))
+    every = cards.select("file_id", "card_id").join(order, "file_id").groupBy(*SCOPE, "card_id").agg(F.min("file_seq").alias("seq"), F.first("new_path").alias("path"))
+    found = features.all_seeds(named, every, SCOPE)
+    names = changed.groupBy(*SCOPE, "card_id").agg(F.max_by("name", "sym_idx").alias("__name"))
+    joined = found.join(names, [*SCOPE, "card_id"], "left")
+    # a card without a changed symbol goes by its file's name
+    return joined.select(*SCOPE, "seed_id", "card_id", F.coalesce("__name", F.regexp_replace("card_id", "::__file$", "")).alias("name"), "type_hint")
 
 
 def review(files: DataFrame, lines: DataFrame) -> Review:
-    """Everything about one review (or several, whose cards are then told apart by their paths)."""
+    """Everything about the reviews in the tables, each by itself; each source is scanned once."""
     lines = cards_ops.distinct_lines(lines)
-    changed = checkpointed(changed_table(files, lines))
-    links = checkpointed(relation_pairs(files, lines, changed, all_pairs=False).where("grade = 'strong'"))
-    seeds = components.seeds(changed.select(F.col("card_id").alias("id")), links)
-    members = seeds.withColumnRenamed("id", "card_id").join(changed.groupBy("card_id").agg(F.max_by("name", "sym_idx").alias("name")), "card_id")
-    return Review(cards_ops.cards(files, lines), changed, relation_pairs(files, lines, changed), seeds, layout.layered(members))
+    parsed = checkpointed(declarations.parsed(usable(files)))
+    changed = checkpointed(changed_table(files, lines, parsed))
+    links = checkpointed(relation_pairs(files, changed, parsed, all_pairs=False).where("grade = 'strong'"))
+    cards = cards_ops.cards(files, lines)
+    seeds = checkpointed(seeded(files, cards, changed, links))
+    return Review(cards, changed, relation_pairs(files, changed, parsed), seeds, layout.layered(seeds, SCOPE))

@@ -157,7 +157,7 @@ def widest_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with h as (select file_id, line_seq row_no, length(content) + 1 height from ({LINES})), p as (select *, sum(height) over (partition by file_id order by row_no) e from h)
- select file_id, row_no, e::bigint "end" from p where e >= 2000 - 1600 and e - height <= 3000 + 1600""")
+ select file_id, row_no, e::bigint "end" from (select *, min(row_no) over (partition by file_id) f from p where e > 2000 - 1600) where e - height < 3000 + 1600 or row_no = f""")
 def viewport_slice(spark: SparkSession, d: str) -> DataFrame:
     rows = lines_of(spark, d).select("file_id", F.col("line_seq").alias("row_no"), (F.length("content") + 1).alias("height"))
     return views.viewport(rows, ["file_id"], 2000, 3000).select("file_id", "row_no", "end")
@@ -261,8 +261,8 @@ def command_checklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with a as (select file_id, min(line_seq) s from ({HELD}) group by 1), l as (select l.file_id, line_seq, s, row_number() over w - 1 i, count(*) over (partition by l.file_id) n from ({LINES}) l join a using (file_id) window w as (partition by l.file_id order by line_seq)),
- p as (select *, max(case when line_seq = s then i end) over (partition by file_id) p from l)
- select file_id, line_seq from p where n <= 121 or abs(i - coalesce(p, 0)) <= 60""")
+ p as (select *, least(count(*) filter (line_seq < s) over (partition by file_id), n - 1) p from l)
+ select file_id, line_seq from p where n <= 121 or abs(i - p) <= 60""")
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
     """Lines around the first thread of each file."""
     at = files_of(spark, d).select("file_id", "review_id", X.card_id(F.col("new_path")).alias("card_id"))
@@ -365,14 +365,15 @@ def file_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def relation_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Strong and weak pairs of changed symbols of all reviews."""
+    """Strong and weak pairs of the changed symbols' cards of each review."""
     files, lines = files_of(spark, d), lines_of(spark, d)
-    return plan.relation_pairs(files, lines, checkpointed(plan.changed_table(files, lines)))
+    parsed = checkpointed(declarations.parsed(plan.usable(files)))
+    return plan.relation_pairs(files, checkpointed(plan.changed_table(files, lines, parsed)), parsed)
 
 
 @query()
 def review_layout(spark: SparkSession, d: str) -> DataFrame:
-    """The layered layout of the seeds of all reviews."""
+    """The layered layout of the seeds of each review; every card of the review is in it."""
     return plan.review(files_of(spark, d).withColumn("ingested_at", F.lit(0)), lines_of(spark, d)).layout
 
 
@@ -525,8 +526,8 @@ def layout_assemble(spark: SparkSession, d: str) -> DataFrame:
  select review_id, count(*) cards, sha256(string_agg(h, chr(10) order by h)) set_hash from c group by 1""")
 def set_hashes(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "file_diffs").select("review_id", F.col("new_path").alias("path"), "status").distinct()
-    h = f.select("review_id", store.content_hash(F.col("path"), F.col("status")).alias("h"))
-    return h.groupBy("review_id").agg(F.count(F.lit(1)).alias("cards"), store.set_hash(F.col("h")).alias("set_hash"))
+    h = store.content_hash(f, ("review_id",))
+    return h.groupBy("review_id").agg(F.count(F.lit(1)).alias("cards"), store.set_hash(F.col("card_hash")).alias("set_hash"))
 
 
 @query("select repo_path, merge_base_sha, card_hash, schema_ver, arg_max(entry_id, (created_at, entry_id)) entry_id, max(created_at) created_at from cluster_result group by all")

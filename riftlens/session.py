@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder of
-    our own is used.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, executors of a local master share the machine, and
+    a temporary folder will do; on any other master the setting is required, as executors would not see each other's disks.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="riftlens-checkpoint-"))
     return df.checkpoint(eager=True)
 

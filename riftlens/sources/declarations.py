@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riftlens.functions import text as X
 
@@ -93,15 +94,16 @@ def scan(lang: str, source: str) -> tuple[list[dict], list[dict]] | None:
     for i, s in enumerate(symbols):
         s["sym_idx"] = i
 
-    def holder(at: int) -> dict | None:
-        inside = [s for s in symbols if s["start_row"] <= at <= s["end_row"]]
-        return min(inside, key=lambda s: (s["end_row"] - s["start_row"], s["sym_idx"])) if inside else None
+    # the innermost symbol of each row: wider ones are written first and narrower ones over them, of equal ones the first last
+    innermost: list[dict | None] = [None] * len(starts)
+    for s in sorted(symbols, key=lambda s: (s["start_row"] - s["end_row"], -s["sym_idx"])):
+        innermost[s["start_row"] : s["end_row"] + 1] = [s] * (s["end_row"] + 1 - s["start_row"])
 
     declared = {s["decl"] for s in raw}
     refs = []
 
     def refer(bucket: str, ident: str, at: int) -> None:
-        s = holder(row(at))
+        s = innermost[row(at)]
         if s:
             refs.append({"sym_idx": s["sym_idx"], "bucket": bucket, "ident": ident, "ref_row": row(at), "in_header": row(at) == s["start_row"]})
 
@@ -124,30 +126,44 @@ def scan(lang: str, source: str) -> tuple[list[dict], list[dict]] | None:
     return symbols, refs
 
 
-SYMBOL = "file_id string, sym_idx int, name string, kind string, owner string, start_row int, end_row int, decl_row int"
-REF = "file_id string, sym_idx int, bucket string, ident string, ref_row int, in_header boolean"
+SYMBOL = "sym_idx int, name string, kind string, owner string, start_row int, end_row int, decl_row int"
+REF = "sym_idx int, bucket string, ident string, ref_row int, in_header boolean"
 
 
-def _table(files: DataFrame, source: str, schema: str, which: int) -> DataFrame:
-    names = [p.split(" ")[0] for p in schema.split(", ")]
+def parsed(files: DataFrame, source: str = "new_source") -> DataFrame:
+    """file_id, symbols, refs of each source that holds together: both from one pass over it.
+
+    Where both are needed, keep this table and take :func:`symbols_of` and :func:`references_of` from it.
+    """
+    symbol_names, ref_names = ([p.split(" ")[0] for p in x.split(", ")] for x in (SYMBOL, REF))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, *(r[n] for n in names[1:])) for f, lang, s in b.itertuples(index=False, name=None) for r in (scan(lang, s) or ((), ()))[which]]
-            yield pd.DataFrame(rows, columns=names)
+            found = [(f, x) for f, lang, s in b.itertuples(index=False, name=None) if (x := scan(lang, s))]
+            rows = [(f, [tuple(r[n] for n in symbol_names) for r in x[0]], [tuple(r[n] for n in ref_names) for r in x[1]]) for f, x in found]
+            yield pd.DataFrame(rows, columns=["file_id", "symbols", "refs"])
 
     held = files.select("file_id", X.language(F.col("new_path")).alias("lang"), F.col(source).alias("source")).where("lang is not null and length(source) > 0").distinct()
+    schema = T.StructType([files.schema["file_id"]]).add("symbols", T.ArrayType(T.StructType.fromDDL(SYMBOL))).add("refs", T.ArrayType(T.StructType.fromDDL(REF)))
     return held.mapInPandas(run, schema)
 
 
-def symbols(files: DataFrame, source: str = "new_source") -> DataFrame:
+def symbols_of(parsed_files: DataFrame) -> DataFrame:
     """Declarations of each file in order of place, width and name."""
-    return _table(files, source, SYMBOL, 0)
+    return parsed_files.select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.*")
 
 
-def references(files: DataFrame, source: str = "new_source") -> DataFrame:
+def references_of(parsed_files: DataFrame) -> DataFrame:
     """Calls, types and supertypes, each with the innermost symbol that holds it."""
-    return _table(files, source, REF, 1)
+    return parsed_files.select("file_id", F.explode("refs").alias("r")).select("file_id", "r.*")
+
+
+def symbols(files: DataFrame, source: str = "new_source") -> DataFrame:
+    return symbols_of(parsed(files, source))
+
+
+def references(files: DataFrame, source: str = "new_source") -> DataFrame:
+    return references_of(parsed(files, source))
 
 
 def card_symbols(syms: DataFrame, files: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def ev(spark, f, *values):
         (X.composite_key, ("a", "b"), "a\u001fb"), (X.cell_width, ("a\t한",), 5), (X.font_size, (17,), 13), (X.font_size, (99,), 11), (X.import_like, ('"net/http"',), True), (X.import_like, ('x = "a"',), False),
         (R.layer_rank, ("a/controller/x.go", "x"), 0), (R.layer_rank, ("a/x_test.go", "handleX"), 5), (R.layer_rank, ("a/x", "main"), 0), (R.layer_rank, ("a/x", "y"), 6), (R.layer_rank, ("x.sql", "y"), 4),
         (R.is_hub, ("LOGGER",), True), (R.is_hub, ("Logging",), False), (R.entry_point, ("a/handler/x", "f"), "f (a/handler/x)"), (R.entry_point, ("a", "b"), None), (R.contract_name, ("OrderRequest",), True), (R.contract_name, ("OrderSchema",), False),
-        (R.contract_candidate, ("a", "OrderSchema", "file"), "OrderSchema (a)"), (R.file_kind, ("db/migration/x.txt",), "migration"), (R.file_kind, ("Makefile",), "config"), (R.file_kind, ("x.go",), "file"), (R.file_type_hint, ("a.sql",), "contract"),
+        (R.contract_candidate, ("a", "OrderSchema", "file"), "OrderSchema"), (R.file_kind, ("db/migration/x.txt",), "migration"), (R.file_kind, ("Makefile",), "config"), (R.file_kind, ("x.go",), "file"), (R.file_type_hint, ("a.sql",), "contract"),
         (R.is_test_symbol, ("go", "a.go", "TestX"), True), (R.is_test_symbol, ("rust", "a.rs", "TestX"), False), (R.branch_rank, ("main", "x"), 2), (R.branch_rank, ("x", "x"), 0), (R.branch_rank, ("y", None), 100),
         (X.error_class, (401, "m"), "auth"), (X.error_class, (529, "m"), "overloaded"), (X.error_class, (500, "m"), "http:m"),
     ],

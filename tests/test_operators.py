@@ -102,6 +102,17 @@ def test_seeds_and_merge_base(spark):
     parents = spark.createDataFrame([("m", None), ("x", "m"), ("y", "m"), ("z", "y")], "id string, parent string")
     base = components.merge_base(parents, spark.createDataFrame([("x",)], "id string"), spark.createDataFrame([("z",)], "id string"))
     assert rows(base, "left_id", "right_id", "base_id") == [("x", "z", "m")]
+    # a short edge to an old ancestor: its descendant is the best one though it lies further up
+    parents = spark.createDataFrame([("X", None), ("p", "X"), ("q", "p"), ("Y", "q"), ("a1", "Y"), ("a2", "a1"), ("A", "a2"), ("A", "X"), ("b1", "Y"), ("b2", "b1"), ("B", "b2"), ("B", "X")], "id string, parent string")
+    base = components.merge_base(parents, spark.createDataFrame([("A",)], "id string"), spark.createDataFrame([("B",)], "id string"))
+    assert rows(base, "base_id") == [("Y",)]
+
+
+def test_seeds_within_a_scope(spark):
+    nodes = spark.createDataFrame([("r", "a"), ("r", "b"), ("s", "a"), ("s", "b"), ("s", "c")], "review_id string, id string")
+    pairs = spark.createDataFrame([("s", "a", "c")], "review_id string, a string, b string")
+    got = rows(components.seeds(nodes, pairs, ["review_id"]), "review_id", "seed_id", "id")
+    assert got == [("r", "seed-1", "a"), ("r", "seed-2", "b"), ("s", "seed-1", "a"), ("s", "seed-1", "c"), ("s", "seed-2", "b")]
 
 
 def test_relations(spark):
@@ -113,6 +124,15 @@ def test_relations(spark):
     assert got == [("A", "B", "strong"), ("A", "C", "strong"), ("A", "F", "weak"), ("B", "C", "strong"), ("B", "E", "strong"), ("C", "E", "strong"), ("C", "F", "weak"), ("E", "F", "weak")]
 
 
+def test_relations_stay_within_their_scope(spark):
+    one = [("A", "run", "T", "p1"), ("B", "walk", "T", "p2"), ("C", "T", None, "p3"), ("E", "go", None, "p5")]
+    changed = spark.createDataFrame([(r, *x) for r in "rs" for x in one[: 4 if r == "r" else 2]], "review string, card_id string, name string, owner string, path string")
+    refs = spark.createDataFrame([("r", "E", "call", "walk", False), ("s", "A", "call", "T", False)], "review string, card_id string, bucket string, ident string, in_header boolean")
+    imports = spark.createDataFrame([("r", "E", "run"), ("s", "B", "go")], "review string, card_id string, ident string")
+    got = rows(relations.pairs(changed, refs, imports, scope=["review"]), "review", "a", "b", "grade")
+    assert got == [("r", "A", "B", "strong"), ("r", "A", "C", "strong"), ("r", "A", "E", "weak"), ("r", "B", "C", "strong"), ("r", "B", "E", "strong"), ("s", "A", "B", "strong")]
+
+
 def test_siblings_are_strong_pairs_all_of_them(spark):
     changed = spark.createDataFrame([(c, f"run{c}", "T", f"p{c}") for c in "ABCD"] + [("E", "hop", None, "pE")], "card_id string, name string, owner string, path string")
     refs = spark.createDataFrame([("B", "type", "runC", False), ("E", "type", "runB", False)], "card_id string, bucket string, ident string, in_header boolean")
@@ -226,8 +246,47 @@ def test_store(spark, tmp_path):
         store.check_threads("{}")
     got = store.read_entries(spark.createDataFrame([('{"a": 1}',), ("{",), ("{}",)], "p string"), "p", "a int", "a")
     assert got.count() == 1
-    two = spark.createDataFrame([(["b", "a"],), (["a", "b"],)], "x array<string>").select(store.content_hash(F.array_sort("x")).alias("h")).distinct()
-    assert two.count() == 1
+    cards = spark.createDataFrame([("s1", ["b", "a"], [(2, ["y", "x"]), (1, [])]), ("s2", ["a", "b"], [(1, []), (2, ["x", "y"])]), ("s1", ["a"], [])], "seed_id string, x array<string>, p array<struct<n:int,z:array<string>>>")
+    assert [r.n for r in store.content_hash(cards).groupBy("card_hash").agg(F.count("*").alias("n")).orderBy("n").collect()] == [1, 2]
+
+
+def test_store_edges(spark, tmp_path):
+    path = str(tmp_path / "made")
+    assert store.get(spark, path, "k string, payload string", k="a").columns == ["k", "payload"]
+    store.create(spark, path, "k string, payload string")
+    store.create(spark, path, "k string, payload string")
+    assert store.get(spark, path, k="a").columns == ["k", "payload"] and store.get(spark, path, k="a").count() == 0
+    store.put(spark, path, spark.createDataFrame([("a", "1")], "k string, payload string"), ["k"])
+    assert rows(store.get(spark, path, k="a"), "payload") == [("1",)]
+    # a store that cannot be read is not taken for an empty one
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        store.put(spark, str(bad), spark.createDataFrame([("a", "1")], "k string, payload string"), ["k"])
+    threads = str(tmp_path / "threads")
+    store.save_threads(spark, threads, "x", "[1]")
+    store.save_threads(spark, threads, "y", "[2]")
+    store.save_threads(spark, threads, "x", "[3]")
+    kept = spark.read.parquet(threads)
+    assert [store.load_threads(kept, k) for k in "xyz"] == ["[3]", "[2]", "[]"]
+    with pytest.raises(ValueError):
+        store.save_threads(spark, threads, "x", "{}")
+    visits = spark.createDataFrame([("s", i) for i in range(150)], "session string, at int")
+    assert rows(store.history(visits, ["session"]), "at")[0] == (50,)
+
+
+def test_viewport_bounds(spark):
+    df = spark.createDataFrame([("f", i, h) for i, h in enumerate((10, 10, 5000, 10, 10))], "file_id string, row_no int, height int")
+    got = lambda t, b, over=0.0: rows(views.viewport(df, ["file_id"], t, b, over), "row_no")
+    # edges that only touch are out; one row is shown at least
+    assert got(10, 20) == [(1,)] and got(20, 21) == [(2,)] and got(0, 10) == [(0,)] and got(1000, 1001) == [(2,)] and got(5020, 5020) == [(3,)] and got(9000, 9100) == []
+
+
+def test_excerpt_of_an_anchor_past_the_end(spark):
+    df = spark.createDataFrame([("f", i) for i in range(200)], "file_id string, line_seq int")
+    around = lambda a: [r.line_seq for r in views.excerpt(df, spark.createDataFrame([("f", a)], "file_id string, anchor_seq int"), ["file_id"]).orderBy("line_seq").collect()]
+    assert around(500) == list(range(139, 200)) and around(None) == list(range(0, 61)) and around(100) == list(range(40, 161))
 
 
 def test_ranks_are_bijections(spark):
@@ -246,6 +305,52 @@ def test_empty_tables(spark):
     assert components.components(spark.createDataFrame([], "id long"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_clusterings_are_rejected_whole(spark):
+    m = spark.createDataFrame([("l1", 0, "c1", 0, "a"), ("l1", 1, "c2", 0, "a"), ("l1", 1, "c2", 1, "b"), ("l2", 0, "c1", 0, "a"), ("l2", 0, "c1", 1, "strange"), ("l3", 0, "c1", 0, "b")], "layout_id string, cluster_pos int, cluster_id string, member_pos int, card_id string")
+    loose = spark.createDataFrame([("l3", "odd")], "layout_id string, card_id string")
+    white = spark.createDataFrame([(x, c) for x in ("l1", "l2", "l3", "l4") for c in "abc"], "layout_id string, card_id string")
+    got = rows(verify.verify_clusters(m, loose, white, ["layout_id"]).na.fill("-", ["cluster_id"]), "layout_id", "cluster_id", "card_id")
+    assert got == [("l1", "-", "c"), ("l1", "c1", "a"), ("l1", "c2", "b"), ("l4", "-", "a"), ("l4", "-", "b"), ("l4", "-", "c")]
+    one = lambda x: (m.where(f"layout_id = '{x}'").drop("layout_id"), loose.limit(0).select("card_id"), white.where(f"layout_id = '{x}'").select("card_id"))
+    assert verify.verify_clusters(*one("l1")).count() == 3 and verify.verify_clusters(*one("l2")).count() == 0
+
+
+def test_assembled_layout(spark):
+    order = spark.createDataFrame([("c3", 0), ("c1", 1), ("c3", 2), ("none", 3)], "cluster_id string, pos int")
+    members = spark.createDataFrame([("c1", 0, "a"), ("c1", 1, "b"), ("c2", 0, "c"), ("c3", 0, "d")], "cluster_id string, member_pos int, card_id string")
+    labels = spark.createDataFrame([("c1", "One", "s")], "cluster_id string, title string, summary string")
+    loose = spark.createDataFrame([("z",), ("y",), ("a",)], "card_id string")
+    got = [(r.flat_pos, r.cluster_id, r.card_id, r.title) for r in layout.assembled(order, members, labels, loose).orderBy("flat_pos").collect()]
+    assert got == [(0, "c3", "d", "변경 사항"), (1, "c1", "a", "One"), (2, "c1", "b", "One"), (3, "c2", "c", "변경 사항"), (4, None, "y", None), (5, None, "z", None)]
+    symbols = spark.createDataFrame([("a", "A"), ("d", "D")], "card_id string, name string")
+    assert rows(layout.label_inputs(members, symbols), "cluster_id", "card_id", "name") == [("c1", "a", "A"), ("c3", "d", "D")]
+
+
+def test_seed_records(spark):
+    f = spark.createDataFrame([("s1", ["x"]), ("s2", ["y"])], "seed_id string, symbols array<string>")
+    members = spark.createDataFrame([("s1", "a", "p1"), ("s1", "b", "p2"), ("s2", "c", "p3")], "seed_id string, card_id string, path string")
+    pairs = spark.createDataFrame([("s1", "a", "b", "strong")], "seed_id string, a string, b string, grade string")
+    tests = spark.createDataFrame([("b", "TestB"), ("b", "TestA")], "card_id string, name string")
+    gone = spark.createDataFrame([("p1", "Old"), ("p9", "No")], "path string, name string")
+    renamed = spark.createDataFrame([("p3", "f", "g")], "path string, from_name string, to_name string")
+    resigned = spark.createDataFrame([("p2", "h", "x", "y")], "path string, name string, before string, after string")
+    got = {r.seed_id: r for r in features.seed_records(f, members, pairs, tests, gone, renamed, resigned).collect()}
+    assert got["s1"].related_tests == ["TestA", "TestB"] and [tuple(x) for x in got["s1"].deleted_symbols] == [("p1", "Old")] and [tuple(x) for x in got["s1"].strong_hints] == [("a", "b")]
+    assert [tuple(x) for x in got["s2"].renames] == [("p3", "f", "g")] and got["s2"].weak_hints == [] and [tuple(x) for x in got["s1"].signature_changes] == [("p2", "h", "x", "y")]
+
+
+def test_payloads_and_attempts(spark):
+    m = spark.createDataFrame([(1, 1, "c2", 0, "b"), (1, 0, "c1", 1, "z"), (1, 0, "c1", 0, "a")], "layout_id int, cluster_pos int, cluster_id string, member_pos int, card_id string")
+    assert rows(verify.clusters_payload(m), "payload") == [('{"clusters":[{"clusterId":"c1","memberCardIds":["a","z"]},{"clusterId":"c2","memberCardIds":["b"]}]}',)]
+    f = spark.createDataFrame([(1, "s2", ["a"], []), (1, "s1", [], ["t"])], "layout_id int, seed_id string, symbols array<string>, tests array<string>")
+    assert rows(verify.seeds_payload(f), "payload") == [('{"seeds":[{"seed_id":"s1","tests":["t"]},{"seed_id":"s2","symbols":["a"]}]}',)]
+    good = '{"units":[{"title":"t","why":"w","tag":"g","startLine":1,"endLine":2,"anchorLine":1}]}'
+    replies = spark.createDataFrame([(1, 1, "no"), (1, 2, good), (2, 1, good), (3, 1, '{"units":[{"title":"t"}]}'), (3, 2, "no"), (3, 3, good)], "layout_id int, attempt int, reply string")
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "layout_id int")
+    got = {r.layout_id: r.attempt for r in verify.first_usable(asked, replies, verify.UNITS_SHAPE).collect()}
+    assert got == {1: 2, 2: 1, 3: None, 4: None}
+
+
 def test_proposals(spark):
     m = spark.createDataFrame([("c2", 5, "x"), ("c2", 1, "y"), ("c1", 0, "z")], "cluster_id string, member_pos int, card_id string")
     assert rows(verify.identity_order(m), "cluster_id", "pos", "card_id") == [("c1", 0, "z"), ("c2", 0, "y"), ("c2", 1, "x")]

@@ -86,6 +86,48 @@ def test_verdicts(spark):
     acts = [("s", 1, "pass", "a"), ("s", 2, "pass", "b"), ("s", 3, "undo", None), ("s", 4, "pass", "c"), ("s", 5, "unpass", "a")]
     got = progress.fold_verdicts(spark.createDataFrame(acts, "session string, seq int, kind string, card_id string"))
     assert [r.card_id for r in got.collect()] == ["c"]
+    # a card that was passed twice: each undo takes back one pass
+    acts = [("s", 1, "pass", "b"), ("s", 2, "pass", "a"), ("s", 3, "pass", "a"), ("s", 4, "undo", None), ("s", 5, "undo", None), ("t", 1, "pass", "x"), ("t", 2, "undo", None), ("u", 1, "undo", None)]
+    got = progress.fold_verdicts(spark.createDataFrame(acts, "session string, seq int, kind string, card_id string"))
+    assert [tuple(r) for r in got.collect()] == [("s", "b")]
+
+
+def test_sessions(spark):
+    cards = spark.createDataFrame([(s, i, c) for s in ("s", "t") for i, c in enumerate("abcd")], "session string, pos int, card_id string")
+    acts = [
+        ("s", 1, "pass", None), ("s", 2, "next", None), ("s", 3, "pass", None), ("s", 4, "answered", "th1"), ("s", 5, "answered", "th2"), ("s", 6, "read", "th1"), ("s", 7, "resolve", "th1"), ("s", 8, "resolve", "th2"), ("s", 9, "resolve", "th2"), ("s", 10, "back", None), ("s", 11, "noise", "x"),
+        ("e", 1, "pass", None),
+    ]
+    got = {r.session: r for r in progress.fold_sessions(spark.createDataFrame(acts, "session string, seq int, kind string, target string"), cards).collect()}
+    s = got["s"]
+    assert (s.at, s.screen, s.back, s.passed, s.unread, s.resolved) == (2, "review", [0, 1], ["a", "c"], ["th2"], ["th1"])
+    assert (got["t"].at, got["t"].passed) == (0, []) and (got["e"].passed, got["e"].screen) == ([], "review")
+    state = progress.Session(list("abc"))
+    for _ in range(3):
+        state.act("pass")
+    assert state.screen == "summary" and state.at == 2
+    state.act("undo")
+    assert list(state.passed) == ["a", "b"] and state.at == 2
+    state.act("undo")
+    assert list(state.passed) == ["a"] and state.at == 1 and state.back == [0, 1, 2]
+    for i in range(300):
+        state.act("goto", str(i % 2))
+    assert len(state.back) == 100
+    state.act("goto", "99")
+    assert state.at == 2
+
+
+def test_events_and_gathering(spark):
+    files = spark.createDataFrame([("k", 7), ("e", 0)], "key string, files int")
+    clusters = spark.createDataFrame([("k", 0, "c1"), ("k", 1, "c2")], "key string, pos int, cluster_id string")
+    labels = spark.createDataFrame([("k", "c1", "one", 9), ("k", "c2", "two", 3), ("k", "strange", "x", 1)], "key string, cluster_id string, title string, done_at int")
+    events = progress.emitted(files, clusters, labels)
+    got = [(r.kind, r.id, r.chapter) for r in events.where("key = 'k'").orderBy("seq").collect()]
+    assert got == [("static", None, None), ("clustering", None, None), ("clusters", None, None), ("reviewed", "c2", "two"), ("reviewed", "c1", "one"), ("final", None, None)]
+    assert [r.kind for r in events.where("key = 'e'").orderBy("seq").collect()] == ["static", "clustering", "final"]
+    assert tuple(progress.fold(events).where("key = 'k'").first()) == ("k", "final", 7, 2)
+    results = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("k", 2, "b"), ("k", 3, None)], "key string, request int, answer string")
+    assert progress.gathered(results, ["key"], ["request"], "answer").first()["values"] == ["a", "b", None]
 
 
 def test_resolve(spark):
@@ -136,7 +178,8 @@ def test_git_repository(spark, repo):
     assert got == {("a/svc.go", "a/svc.go", "Modified", False), ("gone.txt", "gone.txt", "Deleted", False), ("moved.txt", "move.txt", "Modified", False), ("pic.bin", "pic.bin", "Added", True)}
     changed = sorted((r.kind, r.content) for r in lines.where("kind <> 'ctx'").collect())
     assert changed == [("add", "\treturn 2"), ("del", "\treturn 1"), ("del", "bye")]
-    f = files.withColumns({"file_id": F.col("file_seq").cast("string"), "ingested_at": F.lit(0)})
+    f = files.withColumns({"file_id": F.col("file_seq").cast("string"), "ingested_at": F.lit(0), "repo_path": F.lit(repo), "review_id": F.lit("r")})
     made = review.review(f, lines.withColumn("file_id", F.col("file_seq").cast("string")))
     assert [(r.card_id, r.summary) for r in made.cards.orderBy("card_id").collect()] == [("a/svc.go::__file", "Updates svc.go: +1 −1 lines."), ("gone.txt::__file", "Removes gone.txt: −1 line."), ("pic.bin::__file", "Adds binary file pic.bin.")]
-    assert [(r.card_id, r.rank) for r in made.layout.collect()] == [("a/svc.go::__file", 1)]
+    # every card is in the layout: that of a changed symbol, then those without one
+    assert [(r.card_id, r.rank, r.seed_id) for r in made.layout.orderBy("rank").collect()] == [("a/svc.go::__file", 1, "seed-1"), ("gone.txt::__file", 2, "file-seed-1"), ("pic.bin::__file", 3, "file-seed-2")]
