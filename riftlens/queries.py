@@ -609,9 +609,16 @@ def newest_results(spark: SparkSession, d: str) -> DataFrame:
     return progress.newest_only(e, ["user_id"])
 
 
+def _all() -> None:
+    """Register the queries of the other modules, which build on those above."""
+    from riftlens import domain_queries, symbol_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
