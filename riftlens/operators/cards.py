@@ -25,6 +25,10 @@ def line_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.count_if(F.col("kind") == "add").alias("adds"), F.count_if(F.col("kind") == "del").alias("dels"), F.count(F.lit(1)).alias("lines"))
 
 
+def file_counts(files: DataFrame, keys: list[str]) -> DataFrame:
+    return files.groupBy(*keys).agg(F.countDistinct("new_path").alias("files"))
+
+
 def with_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Files that have an added or deleted line."""
     return files.join(lines.where("kind in ('add', 'del')").select("file_id").distinct(), "file_id", "left_semi")

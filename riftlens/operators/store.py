@@ -43,7 +43,8 @@ def latest(entries: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
 
 def read_entries(entries: DataFrame, payload: str, schema: str, required: str) -> DataFrame:
     """Decoded rows; a payload that does not decode, or lacks ``required``, is a miss like an absent row."""
-    decoded = entries.withColumn("record", F.from_json(payload, schema))
+    # from_json alone would give what stands before the damage
+    decoded = entries.withColumn("record", F.when(F.try_parse_json(payload).isNotNull(), F.from_json(payload, schema)))
     return decoded.where(F.col(f"record.{required}").isNotNull())
 
 

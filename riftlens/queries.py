@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -388,16 +388,23 @@ def _sides(spark: SparkSession, d: str) -> DataFrame:
     return signals.normalised(base.unionByName(head), sources)
 
 
+def _renames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The symbols of both states, and the renames to symbols that hold a changed line."""
+    norm = checkpointed(_sides(spark, d))
+    files = signals.guarded(files_of(spark, d))
+    head = norm.where("side = 'head'").select("file_id", "sym_idx", "start_row", "end_row")
+    changed = C.changed_symbols(intervals.attribute_lines(lines_of(spark, d).join(files.select("file_id").distinct(), "file_id", "left_semi"), head, ["file_id"]), head, ["file_id"])
+    return norm, signals.renames(norm, changed)
+
+
 @query()
 def symbol_renames(spark: SparkSession, d: str) -> DataFrame:
-    norm = _sides(spark, d)
-    return signals.renames(norm, norm.where("side = 'head'").select("file_id", "sym_idx"))
+    return _renames(spark, d)[1]
 
 
 @query()
 def deleted_symbols(spark: SparkSession, d: str) -> DataFrame:
-    norm = _sides(spark, d)
-    return signals.deleted(norm, signals.renames(norm, norm.where("side = 'head'").select("file_id", "sym_idx")))
+    return signals.deleted(*_renames(spark, d))
 
 
 @query()
@@ -405,15 +412,6 @@ def signature_changes(spark: SparkSession, d: str) -> DataFrame:
     return signals.signature_changes(_sides(spark, d))
 
 
-@query("select distinct p_brand file_id, p_type name from part p where not exists (select 1 from part q where q.p_brand = p.p_brand and q.p_type = p.p_type and q.p_size > 2) and p_size <= 2 union select distinct s_name, c_mktsegment from supplier join customer on s_nationkey = c_nationkey and c_acctbal < -900 where not exists (select 1 from customer k where k.c_nationkey = s_nationkey and k.c_mktsegment = customer.c_mktsegment and k.c_acctbal > 9000)")
-def one_sided_names(spark: SparkSession, d: str) -> DataFrame:
-    """Types that a brand has in the smallest sizes only, and segments in which a supplier's nation has debtors but no rich customers."""
-    part = table(spark, d, "part").select(F.col("p_brand").alias("file_id"), F.col("p_type").alias("name"), F.when(F.col("p_size") <= 2, "base").otherwise("head").alias("side"))
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_acctbal") < -900, "base").when(F.col("c_acctbal") > 9000, "head").alias("side")).where("side is not null").distinct()
-    segments = table(spark, d, "supplier").join(c, "s_nationkey").select(F.col("s_name").alias("file_id"), "name", "side")
-    return signals.one_sided(part.unionByName(segments), "base", "head").select("file_id", "name").distinct()
-
-
 @query()
 def declared_symbols(spark: SparkSession, d: str) -> DataFrame:
     return declarations.symbols(files_of(spark, d).where("not is_binary"))
@@ -436,22 +434,36 @@ def rediff(spark: SparkSession, d: str) -> DataFrame:
 
 # --- features, verification, layout
 
-MEMBERS = f"select distinct review_id seed_id, repo_path, file_seq pos, new_path card_id, {BASE.format('new_path')} name, new_path path, 'file' kind, case status when 'Added' then 'added' when 'Deleted' then 'deleted' else 'modified' end change_type from file_diffs"
+KIND_OF = """case when contains(lower(new_path), 'migration') or contains(lower(new_path), '/.sqlx/') or ends_with(lower(new_path), '.sql') then 'migration'
+ when regexp_matches(lower(new_path), '\\.(toml|yaml|yml|json|sh|caddy|env|conf|ini|lock)$|(^|/)(dockerfile|caddyfile|\\.gitignore|\\.dockerignore|makefile)$|(^|/)cargo\\.[^/]*$|(^|/)\\.github/') then 'config'
+ when ends_with(new_path, '.java') or ends_with(new_path, '.kt') then 'class' else 'file' end"""
+MEMBERS = f"select distinct review_id seed_id, repo_path, file_seq pos, new_path card_id, {BASE.format('new_path')} name, new_path path, {KIND_OF} kind, case status when 'Added' then 'added' when 'Deleted' then 'deleted' else 'modified' end change_type from file_diffs"
+
+
+def _kind(path: Column) -> Column:
+    """The kind of a file; those that hold one class by their language are classes."""
+    k = R.file_kind(path)
+    return F.when((k == "file") & X.language(path).isin("java", "kotlin"), "class").otherwise(k)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "file_diffs").select(F.col("review_id").alias("seed_id"), "repo_path", F.col("file_seq").alias("pos"), F.col("new_path").alias("card_id"), X.basename(F.col("new_path")).alias("name"), F.col("new_path").alias("path"), F.lit("file").alias("kind"), X.change_type(F.col("status")).alias("change_type")).distinct()
+    return table(spark, d, "file_diffs").select(F.col("review_id").alias("seed_id"), "repo_path", F.col("file_seq").alias("pos"), F.col("new_path").alias("card_id"), X.basename(F.col("new_path")).alias("name"), F.col("new_path").alias("path"), _kind(F.col("new_path")).alias("kind"), X.change_type(F.col("status")).alias("change_type")).distinct()
+
 
+_ENTRY = f"""case when {_sql_any("q", R.ENTRY_PATHS)} or regexp_matches(n, '(controller|handler|resource)$|^main$|^handle') then name || ' (' || path || ')' end"""
+_CONTRACT = f"""case when {" or ".join(f"ends_with(n, '{x}')" for x in R.CANDIDATE_ENDS)} or {_sql_any("q", R.CONTRACT_PATHS)} or {" or ".join(f"ends_with(q, '{x}')" for x in R.CONTRACT_FILES)} then name end"""
 
-@query(f"""with m as ({MEMBERS}), e as (select *, lower(path) q, lower(name) n from m),
- g as (select seed_id, string_agg(name, ',' order by pos, name) symbols, string_agg(distinct case when {_sql_any("q", R.ENTRY_PATHS)} or regexp_matches(n, '(controller|handler|resource)$|^main$|^handle') then name || ' (' || path || ')' end, ',' order by case when {_sql_any("q", R.ENTRY_PATHS)} or regexp_matches(n, '(controller|handler|resource)$|^main$|^handle') then name || ' (' || path || ')' end) entrypoints,
-  count(*) n, count(*) filter (regexp_matches(n, '(request|response|dto|payload|command|event)$')) c from e group by 1)
- select seed_id, symbols, coalesce(entrypoints, '') entrypoints, n, case when c * 2 >= n and c > 0 then 'contract' when coalesce(entrypoints, '') <> '' and n > 3 then 'flow' else 'shared-foundation' end kind from g""")
+
+@query(f"""with m as ({MEMBERS}), e as (select *, lower(path) q, lower(name) n from m), x as (select *, {_ENTRY} entry, {_CONTRACT} contract from e), t as (select distinct review_id seed_id from threads where not resolved),
+ g as (select seed_id, string_agg(name, ',' order by pos, name) symbols, string_agg(distinct entry, ',' order by entry) entrypoints, string_agg(distinct contract, ',' order by contract) contracts, count(*) n, count(*) filter ({" or ".join(f"ends_with(n, '{x}')" for x in R.CONTRACT_ENDS)}) c,
+  bool_or(kind in ('config', 'migration')) infra, bool_or(kind = 'class' and change_type = 'added') added from x group by 1)
+ select seed_id, symbols, coalesce(entrypoints, '') entrypoints, coalesce(contracts, '') contracts, n, case when c * 2 >= n and c > 0 then 'contract' when infra then 'infra' when coalesce(entrypoints, '') <> '' and seed_id in (select seed_id from t) then 'flow' when added then 'domain-concept' else 'shared-foundation' end kind from g""")
 def seed_features(spark: SparkSession, d: str) -> DataFrame:
-    """Reviews as seeds; those of more than three files count as linked."""
+    """Reviews as seeds; those with an open thread count as linked."""
     members = _members(spark, d)
-    got = features.seed_features(members, members.groupBy("seed_id").count().where("count > 3"))
-    return got.select("seed_id", F.array_join("symbols", ",").alias("symbols"), F.array_join("entrypoints", ",").alias("entrypoints"), "n", "kind")
+    got = features.seed_features(members, table(spark, d, "threads").where("not resolved").select(F.col("review_id").alias("seed_id")))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return got.select("seed_id", joined("symbols"), joined("entrypoints"), joined("contracts"), "n", "kind")
 
 
 @query(f"""with m as ({MEMBERS}), l as (select *, {sql_layer("name", "name")} l, {BASE.format("name")} b from m), g as (select repo_path, seed_id, min(l) layer, min(name) first_name, count(distinct b) k, min(b) b from l group by 1, 2)
@@ -502,23 +514,6 @@ def normalised_order(spark: SparkSession, d: str) -> DataFrame:
     return verify.normalised_order(table(spark, d, "threads").select(F.col("review_id").alias("cluster_id"), F.col("thread_id").alias("pos")), clusters)
 
 
-@query(f"""select n_nationkey cluster_id, case when n_nationkey % 3 = 0 then '{verify.DEFAULT_TITLE}' else n_name end title, case when n_nationkey % 4 = 0 then '{verify.DEFAULT_SUMMARY}' else trim(r_name) end summary from nation join region on n_regionkey = r_regionkey""")
-def label_defaults(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    labels = n.select(F.col("n_nationkey").alias("cluster_id"), F.when(F.col("n_nationkey") % 3 == 0, F.lit("  ")).otherwise(F.col("n_name")).alias("title"), F.when(F.col("n_nationkey") % 4 == 0, F.lit(None)).otherwise(F.col("r_name")).alias("summary"))
-    return verify.verified_labels(labels, n.select(F.col("n_nationkey").alias("cluster_id")))
-
-
-@query("""select o_orderkey cluster_id, (row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1)::int flat_pos, l_partkey card_id, coalesce(o_orderpriority, '변경 사항') title
- from lineitem join orders on l_orderkey = o_orderkey""")
-def layout_assemble(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as clusters in key order, their lines as cards."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cluster_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("summary"))
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), key.alias("member_pos"), F.col("l_partkey").alias("card_id"))
-    return layout.assembled(o.select("cluster_id", "pos"), m, o.select("cluster_id", "title", "summary")).select("cluster_id", "flat_pos", "card_id", "title")
-
-
 # --- stores and hashes
 
 
@@ -537,12 +532,6 @@ def cache_latest(spark: SparkSession, d: str) -> DataFrame:
     return got.select("repo_path", "merge_base_sha", "card_hash", "schema_ver", "entry_id", "created_at")
 
 
-@query(f"""with l as (select entry_id layout_id, entry_id % 7 = 0 poor from cluster_result), x as (select layout_id from l where not poor) select distinct layout_id from x""")
-def cache_guard(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "cluster_result").select(F.col("entry_id").alias("layout_id"), F.when(F.col("entry_id") % 7 == 0, verify.DEFAULT_TITLE).otherwise("A title").alias("title"), F.lit("A summary").alias("summary"))
-    return verify.cacheable(labels)
-
-
 @query("select repo_path path, max(opened_at) \"at\" from reviews group by 1 order by 2 desc, 1 limit 4")
 def recent_repositories(spark: SparkSession, d: str) -> DataFrame:
     return store.recent(table(spark, d, "reviews").select(F.col("repo_path").alias("path"), F.col("opened_at").alias("at")))
