@@ -142,7 +142,7 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
     once = f.withColumn("path", path).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("path"))).where("k = 1")
     old = once.where("status <> 'Added'").select("path", F.coalesce("old_source", F.lit("")).alias("source"), "is_binary")
     new = once.where("status <> 'Deleted'").select("path", F.coalesce("new_source", F.lit("")).alias("source"), "is_binary")
-    return snapshots.file_diffs(old, new).where("new_path = old_path").select("new_path", "status", "is_binary", "new_source", "old_source")
+    return snapshots.file_diffs(old, new, None).where("new_path = old_path").select("new_path", "status", "is_binary", "new_source", "old_source")
 
 
 @query(f"""with f as (select file_id, coalesce(new_path, '') n, coalesce(old_path, '') o, row_number() over (order by file_id) - 1 k from ({FILES})), l as (select distinct n, o from f),

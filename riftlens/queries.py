@@ -283,7 +283,13 @@ def _tree_cards(spark: SparkSession, d: str) -> DataFrame:
     return files.join(counts, "file_id", "left").select("path", F.coalesce("adds", F.lit(0)).alias("adds"), F.coalesce("dels", F.lit(0)).alias("dels"))
 
 
-@query()
+@query(f"""with c as (select file_id, any_value(new_path) path from ({FILES}) group by 1), n as (select c.path, count(*) filter (kind = 'add') adds, count(*) filter (kind = 'del') dels from c left join ({LINES}) using (file_id) group by c.file_id, c.path),
+ x as (select path, adds, dels, string_split(path, '/') s from n), e as (select path, adds, dels, array_to_string(s[1:i], '/') dir from (select *, unnest(range(0, len(s))) i from x)),
+ t as (select dir, sum(adds)::bigint adds, sum(dels)::bigint dels, count(distinct path) files from e where dir <> '' group by 1),
+ k as (select case when contains(dir, '/') then regexp_replace(dir, '/[^/]*$', '') else '' end dir, count(*) dirs from t group by 1), o as (select distinct case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end dir from n),
+ thru as (select t.dir from t join k using (dir) where k.dirs = 1 and dir not in (select dir from o)), shown as (select *, string_split(dir, '/') s from t where dir not in (select dir from thru)),
+ stops as (select dir, max(i) i from (select dir, s, unnest(range(1, len(s))) i from shown) where array_to_string(s[1:i], '/') not in (select dir from thru) group by 1)
+ select dir, array_to_string(s[coalesce(i, 0) + 1:], '/') label, adds, dels, files from shown left join stops using (dir)""")
 def tree_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return views.collapsed_tree(_tree_cards(spark, d))
 
@@ -422,7 +428,10 @@ def symbol_references(spark: SparkSession, d: str) -> DataFrame:
     return declarations.references(files_of(spark, d).where("not is_binary")).groupBy("file_id", "bucket").agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("ident").alias("idents"))
 
 
-@query()
+_COUNT = "case when coalesce({0}, '') = '' then 0 else len(string_split(regexp_replace({0}, '\\n$', ''), chr(10))) end"
+
+
+@query(f"""with f as (select file_id, {_COUNT.format("new_source")} n, {_COUNT.format("old_source")} o from ({FILES}) where not is_binary) select file_id, n - o growth, n new_lines, o old_lines from f where n + o > 0""")
 def rediff(spark: SparkSession, d: str) -> DataFrame:
     """Line records made anew from both sources, counted."""
     files = files_of(spark, d).where("not is_binary")

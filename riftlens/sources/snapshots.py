@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftlens.functions import rules as R
+from riftlens.session import checkpointed
 
 LINE = "file_seq long, line_seq int, kind string, new_lineno int, old_lineno int, content string"
 
@@ -33,8 +34,49 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("path", F.element_at(F.split("path", base, 2), -1))
 
 
-def file_diffs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """new_path, old_path, status, is_binary, new_source, old_source of every path that differs; binary sources are empty."""
+#: Share of the larger text that two files must have in common to be a move or a copy (the default of git).
+SIMILAR = 0.5
+#: Files become candidates by a line that at most so many files have; those without any such line are compared by hash only.
+RARE = 32
+
+
+def similar_files(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(old_path, new_path, similarity) of texts (path, source) that share enough of their lines, by characters.
+
+    Files meet by lines that few files have, so no common line relates all files with each other; the share of a pair that met
+    is then counted over all its lines.
+    """
+
+    def lines(df: DataFrame) -> DataFrame:
+        each = df.where("length(source) > 0").select("path", F.explode(F.split("source", "\n")).alias("x"))
+        return each.groupBy("path", F.xxhash64("x").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.first(F.length("x") + 1).alias("size"))
+
+    a, b = lines(left), lines(right)
+    rare = a.select("h").unionByName(b.select("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE).select("h")
+    old, new = a.select(F.col("path").alias("old_path"), "h", "n", "size"), b.select(F.col("path").alias("new_path"), "h", F.col("n").alias("m"))
+    met = old.select("old_path", "h").join(rare, "h").join(new.select("new_path", "h"), "h").select("old_path", "new_path").distinct()
+    shared = met.join(old, "old_path").join(new, ["new_path", "h"]).groupBy("old_path", "new_path").agg(F.sum(F.least("n", "m") * F.col("size")).alias("shared"))
+    sizes = lambda df, c: df.select(F.col("path").alias(c), (F.length("source") + 1).alias(f"{c}_size"))
+    both = shared.join(sizes(left, "old_path"), "old_path").join(sizes(right, "new_path"), "new_path")
+    share = F.col("shared") / F.greatest("old_path_size", "new_path_size")
+    return both.select("old_path", "new_path", share.alias("similarity")).where(F.col("similarity") >= least)
+
+
+def best_matches(found: DataFrame, once: bool) -> DataFrame:
+    """(old_path, new_path): each new file with its most similar old one; with ``once``, each old file with one new one at most."""
+    by = F.struct(-F.col("similarity"), F.col("old_path"))
+    best = found.groupBy("new_path").agg(F.min_by("old_path", by).alias("old_path"), F.max("similarity").alias("similarity"))
+    if once:
+        best = best.groupBy("old_path").agg(F.min_by("new_path", F.struct(-F.col("similarity"), F.col("new_path"))).alias("new_path"))
+    return best.select("old_path", "new_path")
+
+
+def file_diffs(old: DataFrame, new: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
+    """new_path, old_path, status, is_binary, new_source, old_source of every path that differs; binary sources are empty.
+
+    A new path whose text equals a removed one, or is ``similar`` to one, is a move; one that is similar to the old text of a
+    changed file is a copy; both count as modified.  Without ``similar`` only equal texts are moves.
+    """
     o = old.select(F.col("path").alias("old_path"), F.col("source").alias("old_source"), F.col("is_binary").alias("ob"))
     n = new.select(F.col("path").alias("new_path"), F.col("source").alias("new_source"), F.col("is_binary").alias("nb"))
     both = o.join(n, F.col("old_path") == F.col("new_path"), "full").where("old_path is null or new_path is null or old_source <> new_source or ob <> nb")
@@ -42,13 +84,26 @@ def file_diffs(old: DataFrame, new: DataFrame) -> DataFrame:
     added = both.where("old_path is null and length(new_source) > 0").select("new_path", "new_source", F.sha2("new_source", 256).alias("h"))
     one = lambda df, c: df.groupBy("h").agg(F.min(c).alias(c))
     moved = one(removed, "old_path").join(one(added, "new_path"), "h").select("old_path", "new_path")
-    rest = both.join(moved.select(F.col("old_path").alias("__o")), F.col("old_path") == F.col("__o"), "left_anti").join(moved.select(F.col("new_path").alias("__n")), F.col("new_path") == F.col("__n"), "left_anti")
-    renamed = moved.join(o, "old_path").join(n, "new_path")
+    copied = moved.limit(0)
+    if similar is not None:
+        moved = checkpointed(moved)
+        text = lambda df, p, src: df.select(F.col(p).alias("path"), F.col(src).alias("source"))
+        gone = removed.join(moved.select("old_path"), "old_path", "left_anti")
+        come = added.join(moved.select("new_path"), "new_path", "left_anti")
+        alike = best_matches(similar_files(text(gone, "old_path", "old_source"), text(come, "new_path", "new_source"), similar), once=True)
+        moved = checkpointed(moved.unionByName(alike))
+        come = come.join(moved.select("new_path"), "new_path", "left_anti")
+        changed = both.where("old_path is not null and new_path is not null and not ob and not nb")
+        copied = checkpointed(best_matches(similar_files(text(changed, "old_path", "old_source"), text(come, "new_path", "new_source"), similar), once=False))
+    left = lambda df, c, by: df.join(by.select(F.col(c).alias("__x")), F.col(c) == F.col("__x"), "left_anti")
+    # a file that was copied stays on both sides
+    rest = left(left(left(both, "old_path", moved), "new_path", moved), "new_path", copied)
+    paired = moved.unionByName(copied).join(o, "old_path").join(n, "new_path")
     binary = F.coalesce("nb", F.lit(False)) | F.coalesce("ob", F.lit(False))
-    text = lambda c: F.when(binary, "").otherwise(F.coalesce(c, F.lit(""))).alias(c)
+    text_of = lambda c: F.when(binary, "").otherwise(F.coalesce(c, F.lit(""))).alias(c)
     status = F.when(F.col("old_path").isNull(), "Added").when(F.col("new_path").isNull(), "Deleted").otherwise("Modified")
     cols = ["old_path", "new_path", "old_source", "new_source", "ob", "nb"]
-    return rest.select(cols).unionByName(renamed.select(cols)).select(F.coalesce("new_path", "old_path").alias("new_path"), F.coalesce("old_path", "new_path").alias("old_path"), status.alias("status"), binary.alias("is_binary"), text("new_source"), text("old_source"))
+    return rest.select(cols).unionByName(paired.select(cols)).select(F.coalesce("new_path", "old_path").alias("new_path"), F.coalesce("old_path", "new_path").alias("old_path"), status.alias("status"), binary.alias("is_binary"), text_of("new_source"), text_of("old_source"))
 
 
 def split_lines(text: str | None) -> list[str]:

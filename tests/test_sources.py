@@ -183,3 +183,23 @@ def test_git_repository(spark, repo):
     assert [(r.card_id, r.summary) for r in made.cards.orderBy("card_id").collect()] == [("a/svc.go::__file", "Updates svc.go: +1 −1 lines."), ("gone.txt::__file", "Removes gone.txt: −1 line."), ("pic.bin::__file", "Adds binary file pic.bin.")]
     # every card is in the layout: that of a changed symbol, then those without one
     assert [(r.card_id, r.rank, r.seed_id) for r in made.layout.orderBy("rank").collect()] == [("a/svc.go::__file", 1, "seed-1"), ("gone.txt::__file", 2, "file-seed-1"), ("pic.bin::__file", 3, "file-seed-2")]
+
+
+def test_moves_and_copies_by_similarity(spark):
+    body = [f"line {i} of the file" for i in range(20)]
+    text = lambda *edits: "\n".join(f"changed {i}" if i in edits else x for i, x in enumerate(body)) + "\n"
+    other = lambda k: "\n".join(f"{k} speaks of {i}" for i in range(9)) + "\n"
+    old = [("a.txt", text()), ("kept.txt", other("kept")), ("gone.txt", other("gone")), ("same.txt", other("same")), ("brace.txt", "}\n" * 50)]
+    new = [("b.txt", text(3, 4)), ("kept.txt", other("kept") + "more\n"), ("copy.txt", other("kept") + "and other\n"), ("fresh.txt", other("fresh")), ("moved.txt", other("same"))]
+    make = lambda rows: spark.createDataFrame([(p, s, False) for p, s in rows], "path string, source string, is_binary boolean")
+    got = {(r.old_path, r.new_path, r.status) for r in S.file_diffs(make(old), make(new)).collect()}
+    assert got == {("a.txt", "b.txt", "Modified"), ("kept.txt", "kept.txt", "Modified"), ("kept.txt", "copy.txt", "Modified"), ("gone.txt", "gone.txt", "Deleted"), ("brace.txt", "brace.txt", "Deleted"), ("fresh.txt", "fresh.txt", "Added"), ("same.txt", "moved.txt", "Modified")}
+    exact = {(r.old_path, r.new_path, r.status) for r in S.file_diffs(make(old), make(new), None).collect()}
+    assert ("a.txt", "a.txt", "Deleted") in exact and ("same.txt", "moved.txt", "Modified") in exact and ("copy.txt", "copy.txt", "Added") in exact
+    # the share is that of the larger text, repeated lines with their number
+    found = S.similar_files(make(old).select("path", "source"), make(new).select("path", "source"), 0.0).where("old_path = 'a.txt' and new_path = 'b.txt'").first()
+    common = sum(len(x) + 1 for i, x in enumerate(body) if i not in (3, 4)) + 1
+    assert abs(found.similarity - common / (len(text()) + 1)) < 1e-9
+    # many files that share a line do not all meet by it
+    crowd = make([(f"c{i}", f"common\nown {i}\n") for i in range(100)])
+    assert S.similar_files(crowd.select("path", "source"), crowd.select("path", "source"), 0.5).count() == 100
