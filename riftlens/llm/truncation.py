@@ -397,10 +397,10 @@ def posteriors(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     # classes by powers of the odds: a table whose size does not depend on the documents
     level = F.round(F.log2(1 + F.col("odds")) * 2)
     table = once.groupBy("kind", level.alias("level")).agg(F.avg("odds").alias("odds"), F.count(F.lit(1)).alias("n"), cut_words)
-    stop = used.where(F.col("word").rlike(r"[.!?]['”“»’)\]\x22]*$"))
-    places = used.agg(F.sum(F.col("n") * (F.length("word") + 1))).first()
-    stops = (stop.agg(F.sum("n")).first()[0] or 0.0) + 0.1
-    stops /= (places[0] or 0) + 10.0
+    # of all characters, how many are the last of a word with a full stop
+    at_stop = F.col("word").rlike(r"[.!?]['”“»’)\]\x22]*$")
+    places = used.agg(F.sum(F.col("n") * (F.length("word") + 1)), F.sum(F.when(at_stop, F.col("n")))).first()
+    stops = ((places[1] or 0) + 0.1) / ((places[0] or 0) + 10.0)
     whole, cut, anywhere = likelihoods([(r.kind, r.odds, float(r.n), r.cut) for r in table.orderBy("kind", "level").collect()], stops)
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
