@@ -24,7 +24,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     known = pairs.select("a", "b").where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     edges = checkpointed(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
-    while True:
+    while not edges.isEmpty():
         # large star: neighbours above a node link to the smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

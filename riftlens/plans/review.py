@@ -42,12 +42,22 @@ def changed_table(files: DataFrame, lines: DataFrame, parsed: DataFrame | None =
     return hit.join(at, "file_id").select(*SCOPE, "file_id", X.card_id(F.col("path")).alias("card_id"), "sym_idx", "name", "owner", "path", R.is_test_symbol(X.language(F.col("path")), F.col("path"), F.col("name")).alias("is_test"))
 
 
+def referred(changed: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The references of changed symbols, by their cards."""
+    refs = declarations.references_of(parsed).join(changed.select(*SCOPE, "file_id", "sym_idx", "card_id"), ["file_id", "sym_idx"])
+    return refs.select(*SCOPE, "card_id", "bucket", "ident", "in_header").distinct()
+
+
+def imported(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The names that the files of changed symbols import, by their cards."""
+    names = X.imported_names(X.language(F.col("new_path")), F.col("new_source"))
+    every = files.select(*SCOPE, X.card_id(F.col("new_path")).alias("card_id"), F.explode(names).alias("ident"))
+    return every.join(changed.select(*SCOPE, "card_id").distinct(), [*SCOPE, "card_id"], "left_semi")
+
+
 def relation_pairs(files: DataFrame, changed: DataFrame, parsed: DataFrame, all_pairs: bool = True) -> DataFrame:
     """Strong and weak pairs of the changed symbols' cards of each review; without ``all_pairs``, links that join the same cards."""
-    refs = declarations.references_of(parsed).join(changed.select(*SCOPE, "file_id", "sym_idx", "card_id"), ["file_id", "sym_idx"]).select(*SCOPE, "card_id", "bucket", "ident", "in_header")
-    lang = X.language(F.col("new_path"))
-    imports = files.select(*SCOPE, X.card_id(F.col("new_path")).alias("card_id"), F.explode(X.imported_names(lang, F.col("new_source"))).alias("ident")).join(changed.select(*SCOPE, "card_id").distinct(), [*SCOPE, "card_id"], "left_semi")
-    return relations.pairs(changed, refs, imports, all_pairs, SCOPE)
+    return relations.pairs(changed, checkpointed(referred(changed, parsed)), imported(files, changed), all_pairs, SCOPE)
 
 
 def seeded(files: DataFrame, cards: DataFrame, changed: DataFrame, links: DataFrame) -> DataFrame:
@@ -67,7 +77,8 @@ def review(files: DataFrame, lines: DataFrame) -> Review:
     lines = cards_ops.distinct_lines(lines)
     parsed = checkpointed(declarations.parsed(usable(files)))
     changed = checkpointed(changed_table(files, lines, parsed))
-    links = checkpointed(relation_pairs(files, changed, parsed, all_pairs=False).where("grade = 'strong'"))
+    refs = checkpointed(referred(changed, parsed))
+    links = relations.strong_pairs(changed, refs, False, SCOPE)
     cards = cards_ops.cards(files, lines)
     seeds = checkpointed(seeded(files, cards, changed, links))
-    return Review(cards, changed, relation_pairs(files, changed, parsed), seeds, layout.layered(seeds, SCOPE))
+    return Review(cards, changed, relations.pairs(changed, refs, imported(files, changed), scope=SCOPE), seeds, layout.layered(seeds, SCOPE))

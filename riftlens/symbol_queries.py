@@ -115,20 +115,21 @@ def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return files, syms, hit.withColumn("card_id", X.card_id(F.col("new_path"))).withColumn("path", F.col("new_path"))
 
 
-def _pairs(spark: SparkSession, d: str, all_pairs: bool = True) -> tuple[DataFrame, DataFrame]:
+def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changed symbols, their references, and what their files import, kept as relations and components both start from them."""
     files, syms, changed = _changed(spark, d)
     changed = checkpointed(changed)
     refs = line_references(files, syms).join(changed.select(*plan.SCOPE, "file_id", "sym_idx", "card_id"), ["file_id", "sym_idx"])
     lines = _source_lines(files, "new_source").join(changed.select("file_id").distinct(), "file_id", "left_semi").where(F.col("line").rlike(IMPORTED))
     imports = lines.select(*plan.SCOPE, X.card_id(F.col("new_path")).alias("card_id"), F.regexp_extract("line", IMPORTED, 1).alias("ident")).distinct()
-    return changed, relations.pairs(changed, refs, imports, all_pairs, plan.SCOPE)
+    return changed, checkpointed(refs.select(*plan.SCOPE, "card_id", "bucket", "ident", "in_header").distinct()), imports
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    changed, links = _pairs(spark, d, all_pairs=False)
+def _seeds(spark: SparkSession, d: str, inputs: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     files = files_of(spark, d)
     cards = C.cards(files.withColumn("ingested_at", F.lit(0)), lines_of(spark, d))
-    return plan.seeded(files, cards, changed, links.where("grade = 'strong'"))
+    changed, refs, _ = inputs
+    return plan.seeded(files, cards, changed, relations.strong_pairs(changed, refs, False, plan.SCOPE))
 
 
 @query(f"{SYMBOLS} select file_id, sym_idx, name, count(*) filter (kind = 'add') adds, count(*) filter (kind = 'del') dels from att join ch using (file_id, sym_idx) group by all")
@@ -162,19 +163,20 @@ def owned_references(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{PAIRS} select *, 'strong' grade from st union all select *, 'weak' from wk")
 def name_relations(spark: SparkSession, d: str) -> DataFrame:
     """Strong and weak pairs of each review's changed symbols: by reference, by owner, by owner type, by import."""
-    return _pairs(spark, d)[1]
+    return relations.pairs(*_inputs(spark, d), scope=plan.SCOPE)
 
 
 @query(f"{SEEDS} select repo_path, review_id, seed_id, card_id, name, type_hint from sn")
 def review_seeds(spark: SparkSession, d: str) -> DataFrame:
     """All seeds of each review: components of the cards with changed symbols, and every other card by itself."""
-    return _seeds(spark, d)
+    return _seeds(spark, d, _inputs(spark, d))
 
 
 @query(f"{SEEDS}, p as (select *, 'strong' grade from st union all select *, 'weak' from wk) select p.repo_path, p.review_id, x.seed_id, p.a, p.b, p.grade from p join sn x on p.repo_path = x.repo_path and p.review_id = x.review_id and p.a = x.card_id join sn y on p.repo_path = y.repo_path and p.review_id = y.review_id and p.b = y.card_id and x.seed_id = y.seed_id")
 def seed_relations(spark: SparkSession, d: str) -> DataFrame:
     """The pairs that lie within one seed."""
-    return relations.pairs_within(_pairs(spark, d)[1], _seeds(spark, d), plan.SCOPE).select(*plan.SCOPE, "seed_id", "a", "b", "grade")
+    inputs = _inputs(spark, d)
+    return relations.pairs_within(relations.pairs(*inputs, scope=plan.SCOPE), _seeds(spark, d, inputs), plan.SCOPE).select(*plan.SCOPE, "seed_id", "a", "b", "grade")
 
 
 _LAYER = sql_layer("name", "name")
@@ -185,7 +187,7 @@ _LAYER = sql_layer("name", "name")
  select ml.repo_path, ml.review_id, ml.seed_id, o.rank::int rank, title, (row_number() over (partition by ml.repo_path, ml.review_id, o.rank order by ml.l, name, card_id) - 1)::int pos, card_id from ml join o using (repo_path, review_id, seed_id)""")
 def seed_layout(spark: SparkSession, d: str) -> DataFrame:
     """The layered layout of the seeds of each review."""
-    return layout.layered(_seeds(spark, d), plan.SCOPE).select(*plan.SCOPE, "seed_id", "rank", "title", "pos", "card_id")
+    return layout.layered(_seeds(spark, d, _inputs(spark, d)), plan.SCOPE).select(*plan.SCOPE, "seed_id", "rank", "title", "pos", "card_id")
 
 
 # --- what happened to symbols between both states
