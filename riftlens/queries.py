@@ -80,7 +80,37 @@ def layout_entries(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query()
+def _sql_links() -> str:
+    """The links by walking each payload from the top, where the operator labels all nodes and cuts the labels."""
+    key = lambda j, *names: "coalesce(" + ", ".join(f"nullif(({j} -> '$.{n}')::varchar, 'null')::json" for n in names) + ")"
+    text = lambda j, *names: "coalesce(" + ", ".join(f"({j} ->> '$.{n}')" for n in names) + ")"
+    scalar = lambda j: f"case when json_type({j}) not in ('OBJECT', 'ARRAY', 'NULL') then {j} ->> '$' end"
+    listed = lambda j: f"case when json_type({j}) = 'ARRAY' then json_extract({j}, '$[*]') when {j} is not null then [{j}] end"
+    each = lambda src, cols, j: f"select {cols}, unnest({listed(j)}) e, generate_subscripts({listed(j)}, 1) - 1 i from {src} where {j} is not null"
+    # a map is a list whose elements carry their keys
+    mapped = lambda src, j: f"select s, id, null k, e, i from ({each(f"(select * from {src} where json_type({j}) = 'ARRAY')", 's, id', j)}) union all select s, id, k, json_extract({j}, '$.\"' || k || '\"'), null from (select *, unnest(json_keys({j})) k from {src} where json_type({j}) = 'OBJECT')"
+    wrapped = "coalesce(" + ", ".join(f"case when json_type(j, '$.{w}') in ('OBJECT', 'VARCHAR') then j ->> '$.{w}' end" for w in nested.WRAPPERS) + ")"
+    blank = "' ' || chr(9) || chr(10) || chr(13) || chr(65279)"
+    inner = f"case when json_valid(j) then case json_type(j) when 'VARCHAR' then j ->> '$' when 'OBJECT' then {wrapped} end when regexp_matches(j, '^```') then nullif(regexp_extract(j, '(?s)^```[A-Za-z]*[ \\t]*\\r?\\n(.*?)\\r?\\n?```\\s*$', 1), '') end"
+    member = f"coalesce({scalar('e')}, {text('e', 'cardId', 'card_id')}, {text('e', 'id')})"
+    unit = f"coalesce({text('e', 'title')}, {scalar('e')})"
+    members = " union all ".join(each("c", "s, id, cid", f"m{n}") for n in range(3))
+    return f"""with recursive p as (select 'cluster_result' s, entry_id id, result_json j from cluster_result union all select 'review_layout', entry_id, layout_json from review_layout),
+ u(s, id, j) as (select s, id, ltrim(j, {blank}) from p where j is not null union all select s, id, ltrim({inner}, {blank}) from u where {inner} is not null),
+ r as (select s, id, j::json j from u where {inner} is null and json_valid(j) and json_type(j) = 'OBJECT'),
+ g as (select s, id, {key("j", "clusters")} clusters, {key("j", "cardUnits", "card_units")} units, {key("j", "unclustered")} loose, {key("j", "mergeSuggestions", "merge_suggestions")} merges, {key("j", "splitSuggestions", "split_suggestions")} splits from r),
+ c as (select s, id, coalesce({text("e", "id")}, {text("e", "clusterId", "cluster_id")}, k) cid, {key("e", "memberCardIds", "member_card_ids")} m0, {key("e", "orderedCardIds", "ordered_card_ids")} m1, {key("e", "members")} m2 from ({mapped("g", "clusters")})),
+ mb as ({members}),
+ mu as (select s, id, {text("e", "cardId", "card_id", "id")} card, {key("e", "units")} un from ({each("c", "s, id", "m2")}) where json_type(e) = 'OBJECT'),
+ cu as (select s, id, coalesce({text("e", "cardId", "card_id", "id")}, k) card, case when json_type(e) = 'ARRAY' then e when json_type(e) = 'OBJECT' then {key("e", "units")} end un from ({mapped("g", "units")})),
+ un as ({each("(select * from mu union all select * from cu)", "s, id, card", "un")}),
+ sg as (select s, id, 'merge#' || i parent, {key("e", "clusterIds", "cluster_ids")} ids from ({each("g", "s, id", "merges")}) union all select s, id, 'split#' || i, {key("e", "clusterIds", "cluster_ids")} from ({each("g", "s, id", "splits")})),
+ l as (select s, id, 'cluster_card' kind, cid parent, i, {member} child from mb union all select s, id, 'card_unit', card, i, {unit} from un union all select s, id, 'unclustered_card', '__unclustered', i, {member} from ({each("g", "s, id", "loose")})
+  union all select s, id, 'suggestion_cluster', parent, i, {member} from ({each("sg", "s, id, parent", "ids")}))
+ select distinct s store, id entry_id, kind link_kind, parent parent_id, i::int child_pos, child child_id from l where parent is not null and child is not null"""
+
+
+@query(_sql_links())
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.layout_links(nested.layout_nodes(layout_entries(spark, d), links_only=True))
 

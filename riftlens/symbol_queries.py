@@ -160,6 +160,24 @@ def owned_references(spark: SparkSession, d: str) -> DataFrame:
     return refs.groupBy("file_id", "sym_idx", "bucket").agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("ident").alias("idents"), F.count_if("in_header").alias("in_header"))
 
 
+SUPER = r"\b(?:impl|implements|extends|class|struct)\b"
+_CLOSE = "min(case when starts_with(line, '}') then \"row\" end) over (partition by file_id order by \"row\" rows between 1 following and unbounded following)"
+
+
+@query(f"""{SYMBOLS}, il as (select file_id, "row", line, {_CLOSE} b from s_l), ir as (select distinct file_id, "row", b, unnest(regexp_extract_all(line, '{TYPED}', 1)) ident from il where regexp_matches(line, '{SUPER}')),
+ ih as (select ir.*, sym_idx, "row" = start_row in_header, row_number() over (partition by ir.file_id, "row", ident order by end_row - start_row, sym_idx) k from ir join s on s.file_id = ir.file_id and "row" between start_row and end_row)
+ select file_id, file_id || ':' || "row" || ':' || ident ref_id, sym_idx, in_header from ih where k = 1
+ union all select ir.file_id, ir.file_id || ':' || "row" || ':' || ident, s.sym_idx, true from ir join s on s.file_id = ir.file_id and start_row >= "row" and end_row <= b where not exists (select 1 from ih where ih.file_id = ir.file_id and ih."row" = ir."row")""")
+def supertype_references(spark: SparkSession, d: str) -> DataFrame:
+    """Capitalised names on lines of types and implementations: with the innermost symbol, else with every one in the block below."""
+    files = plan.usable(files_of(spark, d))
+    after = Window.partitionBy("file_id").orderBy("row").rowsBetween(1, Window.unboundedFollowing)
+    lines = _source_lines(files, "new_source").withColumn("block_end", F.min(F.when(F.startswith("line", F.lit("}")), F.col("row"))).over(after)).where(F.col("line").rlike(SUPER))
+    refs = lines.select("file_id", "row", F.col("row").alias("block_start"), "block_end", F.explode(F.regexp_extract_all("line", F.lit(TYPED), F.lit(1))).alias("ident")).distinct()
+    refs = refs.withColumn("ref_id", F.concat_ws(":", "file_id", F.col("row").cast("string"), "ident"))
+    return intervals.attribute_impls(refs, line_symbols(files), ["file_id"]).select("file_id", "ref_id", "sym_idx", "in_header")
+
+
 @query(f"{PAIRS} select *, 'strong' grade from st union all select *, 'weak' from wk")
 def name_relations(spark: SparkSession, d: str) -> DataFrame:
     """Strong and weak pairs of each review's changed symbols: by reference, by owner, by owner type, by import."""
